@@ -69,6 +69,7 @@ def plan(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats: int =
         sized(docs, text).alias("size"),
         F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")).alias("_source"),
         F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")).alias("_order"),
+        F.xxhash64(text).alias("_text_hash"),
     ).withColumn("_bucket", F.conv(F.substring("_order", 1, 3), 16, 10).cast("int"))
     totals = written(base.groupBy("_source", "_bucket").agg(F.sum("size").alias("n"), F.first(source).alias("name")), "mix-totals")
     by_source = totals.groupBy("_source").agg(F.sum("n").alias("source_size"), F.first("name", ignorenulls=True).alias("name"))
@@ -88,7 +89,7 @@ def plan(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats: int =
     )
     before = totals.select("_source", "_bucket", F.coalesce(F.sum("n").over(Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     starts = before.join(goals, "_source")
-    within = Window.partitionBy("_source", "_bucket").orderBy("_order", doc_id, "size", F.xxhash64(text)).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_source", "_bucket").orderBy("_order", doc_id, "size", "_text_hash").rowsBetween(Window.unboundedPreceding, -1)
     begun = base.join(starts, ["_source", "_bucket"]).withColumn("_begin", F.col("_before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     full = F.expr("if(source_size = 0, 0L, _demand div source_size)")
     rest = F.col("_demand") - F.col("_full") * F.col("source_size")
