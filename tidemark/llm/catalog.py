@@ -1,11 +1,14 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 from __future__ import annotations
 
-from tidemark.llm import mixing
+from tidemark.llm import decontamination, mixing, secrets
 
 QUERIES = {
+    "op4_secrets": secrets.op4_secrets,
+    "op5_decontamination": decontamination.op5_decontamination,
     "op7_mixing": mixing.op7_mixing,
 }
 ORACLE_SQL = {
+    "op5_decontamination": decontamination.OP5_SQL,
     "op7_mixing": mixing.OP7_SQL,
 }
