@@ -1,9 +1,10 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 from __future__ import annotations
 
-from tidemark.llm import decontamination, mixing, secrets
+from tidemark.llm import decontamination, mixing, secrets, token_files
 
 QUERIES = {
+    "op3_token_files": token_files.op3_token_files,
     "op4_secrets": secrets.op4_secrets,
     "op5_decontamination": decontamination.op5_decontamination,
     "op7_mixing": mixing.op7_mixing,
