@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.data import table
-from tidemark.llm.storage import written
+from tidemark.llm.storage import few_files, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 4096
@@ -71,7 +71,7 @@ def plan(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats: int =
         F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")).alias("_order"),
         F.xxhash64(text).alias("_text_hash"),
     ).withColumn("_bucket", F.conv(F.substring("_order", 1, 3), 16, 10).cast("int"))
-    totals = written(base.groupBy("_source", "_bucket").agg(F.sum("size").alias("n"), F.first(source).alias("name")), "mix-totals")
+    totals = written(base.groupBy("_source", "_bucket").agg(F.sum("size").alias("n"), F.first(source).alias("name")), "mix-totals", small=True)
     by_source = totals.groupBy("_source").agg(F.sum("n").alias("source_size"), F.first("name", ignorenulls=True).alias("name"))
     # From here to `goals` one row a source.
     ranked = by_source.withColumn("_weight", F.element_at(F.array(*[F.lit(float(w) * scale) for w in weights]), ((F.row_number().over(Window.orderBy(F.col("name").asc_nulls_last())) - 1) % len(weights)) + 1))
@@ -115,7 +115,7 @@ def cut(text: Column, words: Column) -> Column:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return few_files(plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken"))
 
 
 OP7_SQL = r"""

@@ -21,12 +21,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def few_files(df: DataFrame) -> DataFrame:
+    """At most two partitions for each core of the cluster, joined without a shuffle: for narrow
+    tables that many partitions hold little of, so that their files do not outnumber the tasks
+    that can run at once."""
+    return df.coalesce(max(2, 2 * df.sparkSession.sparkContext.defaultParallelism))
+
+
+def written(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back: lineage ends there,
-    so a lost executor costs a reread and not a recomputation."""
+    so a lost executor costs a reread and not a recomputation. ``small``: as few files."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    (few_files(df) if small else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
