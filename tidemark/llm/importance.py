@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tidemark.llm import kernels as K
 from tidemark.llm.data import table
@@ -87,7 +88,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _good(labels: DataFrame) -> DataFrame:
     """Ids (``_id``) of good documents, at most ``MOST_LABELLED``, in two halves."""
     good = labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct()
-    return good.orderBy(F.xxhash64("_id"), "_id").limit(MOST_LABELLED).withColumn("half", F.pmod(F.xxhash64("_id", F.lit("half")), F.lit(2)))
+    return good.orderBy(F.xxhash64("_id"), "_id").limit(MOST_LABELLED).withColumn("half", (F.row_number().over(Window.orderBy(F.xxhash64("_id"), "_id")) - 1) % 2)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> np.ndarray | None:
