@@ -1,9 +1,10 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 from __future__ import annotations
 
-from tidemark.llm import decontamination, importance, mixing, secrets, token_files
+from tidemark.llm import decontamination, imatch, importance, mixing, secrets, token_files
 
 QUERIES = {
+    "op8_imatch": imatch.op8_imatch,
     "op9_importance": importance.op9_importance,
     "op3_token_files": token_files.op3_token_files,
     "op4_secrets": secrets.op4_secrets,
