@@ -18,6 +18,7 @@ repeated rows are encoded each; an empty table makes no shard.
 """
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -36,7 +37,7 @@ LENGTH = 2048
 BATCH = 64
 END_ID = 2
 #: Pieces of text between blanks are encoded once a worker; at most so many are kept, none longer.
-CACHE_PIECES, CACHE_CHARS = 400_000, 48
+CACHE_PIECES, CACHE_CHARS = 1_000_000, 48
 
 _encoders: dict[str, Encoder] = {}
 
@@ -54,6 +55,15 @@ class Encoder:
         self.tokenizer.no_padding()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {}
+        # With a mark at words' ends (and lower-casing), words can be encoded many at a time.
+        model = json.loads(self.tokenizer.to_str())
+        mark, steps = model["model"].get("end_of_word_suffix"), [n.get("type") for n in (model.get("normalizer") or {}).get("normalizers", [])]
+        self.ends_word = None
+        if mark and "Lowercase" in steps:
+            self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+            for token, i in self.tokenizer.get_vocab().items():
+                self.ends_word[i] = token.endswith(mark)
+        self.marks = dict(zip(("", ".", ","), self._encode(["", ".", ","]), strict=True))
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -64,19 +74,50 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Of words of letters only: together, and cut where the tokenizer marks a word's end."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 400):
+            some = words[at : at + 400]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * self.dtype.itemsize
+            if len(ends) != len(some):  # a letter that the tokenizer takes for more than one word
+                out += self._encode(some)
+                continue
+            raw, begin = ids.tobytes(), 0
+            for end in ends.tolist():
+                out.append(raw[begin:end])
+                begin = end
+        return out
+
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        """Encodes pieces; short ones go into the cache, long ones are returned."""
+        cache, words, plain, long = self.cache, {}, [], []
+        for p in missing:
+            if len(p) > CACHE_CHARS:
+                long.append(p)
+                continue
+            word, tail = (p[:-1], p[-1]) if p[-1:] in (".", ",") else (p, "")
+            if word.isalpha() and self.ends_word is not None:
+                words[p] = (word.lower() if word.isascii() else word, tail)
+            else:
+                plain.append(p)
+        cache.update(zip(plain, self._encode(plain), strict=True))
+        new = list({w for w, _ in words.values()}.difference(cache))
+        cache.update(zip(new, self._encode_words(new), strict=True))
+        for p, (word, tail) in words.items():
+            cache[p] = cache[word] + self.marks[tail]
+        return dict(zip(long, self._encode(long), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of ``dtype``."""
         if len(self.cache) > CACHE_PIECES:
             self.cache.clear()
         cache = self.cache
         pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = list(set().union(*pieces).difference(cache))
-        long = {p: None for p in missing if len(p) > CACHE_CHARS}
-        short = [p for p in missing if len(p) <= CACHE_CHARS]
-        cache.update(zip(short, self._encode(short), strict=True))
+        long = self._learn(set().union(*pieces).difference(cache))
         if not long:
             return [b"".join(map(cache.__getitem__, p)) for p in pieces]
-        long = dict(zip(long, self._encode(list(long)), strict=True))
         return [b"".join([cache[x] if x in cache else long[x] for x in p]) for p in pieces]
 
 
@@ -91,7 +132,7 @@ class ShardWriter:
         self.fs, self.folder = _filesystem(folder)
         self.fs.create_dir(self.folder, recursive=True)
         self.shard, self.dtype, self.length = shard, dtype, length
-        self.schema = pa.schema([("input_ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("attention_mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("input_ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("attention_mask", pa.list_(pa.bool_(), length))])
         self.mark = uuid.uuid4().hex
         self.out = self.fs.open_output_stream(f"{self.folder}/.tokens-{shard:06d}.{self.mark}")
         self.writer = pa.ipc.new_file(self.out, self.schema)
@@ -120,9 +161,9 @@ class ShardWriter:
             at += len(part)
             rows = -(-len(part) // self.length)
             pad = rows * self.length - len(part)
-            mask = np.ones(rows * self.length, dtype=np.uint8)
+            mask = np.ones(rows * self.length, dtype=bool)
             if pad:
-                mask[len(part) :] = 0
+                mask[len(part) :] = False
                 part = np.concatenate([part, np.zeros(pad, dtype=self.dtype)])
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (part, mask)]
             self.writer.write_batch(pa.record_batch(lists, schema=self.schema))
@@ -157,12 +198,13 @@ class Shard:
             self._at, self._batch = i, self.tokens.get_batch(i)
         return self._batch
 
-    def sequence(self, i: int, column: str = "input_ids") -> np.ndarray:
-        batch = self._batch_of(i // BATCH)
-        return batch.column(column).values.to_numpy()[i % BATCH * self.length :][: self.length]
+    def sequence(self, i: int) -> np.ndarray:
+        """Row i, a view of the file."""
+        return self._batch_of(i // BATCH).column("input_ids").values.to_numpy()[i % BATCH * self.length :][: self.length]
 
-    def mask(self, i: int) -> np.ndarray:
-        return self.sequence(i, "attention_mask")
+    def mask(self, i: int) -> pa.Array:
+        """The mask of row i, bits that are a view of the file."""
+        return self._batch_of(i // BATCH).column("attention_mask").values.slice(i % BATCH * self.length, self.length)
 
     def pieces(self, start: int, n: int) -> Iterator[np.ndarray]:
         """The ids start .. start+n, as views of the batches that hold them."""
