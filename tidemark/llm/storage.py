@@ -22,10 +22,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def few_files(df: DataFrame) -> DataFrame:
-    """At most two partitions for each core of the cluster, joined without a shuffle: for narrow
+    """At most one partition for each core of the cluster, joined without a shuffle: for narrow
     tables that many partitions hold little of, so that their files do not outnumber the tasks
     that can run at once."""
-    return df.coalesce(max(2, 2 * df.sparkSession.sparkContext.defaultParallelism))
+    return df.coalesce(max(2, df.sparkSession.sparkContext.defaultParallelism))
 
 
 def written(df: DataFrame, name: str, small: bool = False) -> DataFrame:
