@@ -1,9 +1,10 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 from __future__ import annotations
 
-from tidemark.llm import decontamination, imatch, importance, jaccard, mixing, secrets, token_files
+from tidemark.llm import decontamination, imatch, importance, jaccard, mixing, secrets, spans, token_files
 
 QUERIES = {
+    "op6_substrings": spans.op6_substrings,
     "op2_jaccard": jaccard.op2_jaccard,
     "op8_imatch": imatch.op8_imatch,
     "op9_importance": importance.op9_importance,
