@@ -39,8 +39,8 @@ RECALL = 0.9999
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - SIMILARITY / 2))
 SIGNATURE = 48
 CHILDREN = 1.67
-LIMIT = 600
-DEPTH = 8
+LIMIT = 2000
+DEPTH = 4
 #: Sets are compared where this share of minimum hashes agrees, or a chain of such sets joins them:
 #: 4.5 standard deviations below a similarity of 0.8.
 AGREE = 0.54
