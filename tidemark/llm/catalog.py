@@ -1,9 +1,10 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 from __future__ import annotations
 
-from tidemark.llm import chaining, decontamination, imatch, importance, jaccard, mixing, secrets, spans, token_files
+from tidemark.llm import chaining, decontamination, imatch, importance, jaccard, mixing, secrets, spans, style_tree, token_files
 
 QUERIES = {
+    "op1_style_tree": style_tree.op1_style_tree,
     "op10_passages": chaining.op10_passages,
     "op6_substrings": spans.op6_substrings,
     "op2_jaccard": jaccard.op2_jaccard,
