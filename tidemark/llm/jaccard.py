@@ -81,7 +81,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, part, off in K.chunks(data, offsets):
             s, first = shingled(part, off)
             sig = signatures(s, first)
-            yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(set_ids(s, first), pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())], names=["doc", "set", "sig"])
+            yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(set_ids(s, first), pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())], names=["doc", "hash", "set", "sig"])
 
 
 def _paths(sig: np.ndarray, path: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -261,8 +261,13 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id``, ``class_id``, ``n_links`` (other documents of at least this similarity, copies
     counted), ``copy_of`` (the least id with the same set); one row a row of ``docs``."""
-    base = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
-    described = written(base.mapInArrow(_describe, docs.select(F.col(doc_id).alias("doc")).schema.simpleString()[7:-1].replace(":", " ") + ", set binary, sig binary"), "sets")
+    return _joined(docs, doc_id, text, similarity).select(F.col("doc").alias(doc_id), "class_id", "n_links", "copy_of")
+
+
+def _joined(docs: DataFrame, doc_id: str, text: str, similarity: float) -> DataFrame:
+    """The rows of join(), with ``hash`` of the text and ``label`` of the class (null: no words)."""
+    base = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
+    described = written(base.mapInArrow(_describe, f"doc {docs.schema[doc_id].dataType.simpleString()}, hash long, set binary, sig binary"), "sets")
     sets = described.filter("set is not null").groupBy("set").agg(F.min("doc").alias("least"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
     sets = written(sets, "distinct-sets", small=True)
     met = buckets(sets.select("set", "sig"))
@@ -282,10 +287,26 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similar
     known = sets.select("set", "least", "copies").join(links, "set", "left").join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
     known = written(known, "known", small=True)
     classes = known.groupBy("label").agg(F.min("least").alias("class_id"))
-    known = known.join(classes, "label").select("set", F.col("least").alias("copy_of"), "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = described.select("doc", "set").join(known, "set", "left")
+    known = known.join(classes, "label").select("set", "label", F.col("least").alias("copy_of"), "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    out = described.select("doc", "hash", "set").join(known, "set", "left")
     alone = F.col("set").isNull()
-    return out.select(F.col("doc").alias(doc_id), F.when(alone, F.col("doc")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"), F.when(alone, F.col("doc")).otherwise(F.col("copy_of")).alias("copy_of"))
+    return out.select("doc", "hash", "label", F.when(alone, F.col("doc")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"), F.when(alone, F.col("doc")).otherwise(F.col("copy_of")).alias("copy_of"))
+
+
+def representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one document of each class: the one of the least id (and hash of its text, where
+    ids repeat). Texts without words stay; of rows equal in id and text one stays."""
+    rows = written(_joined(docs, doc_id, text, similarity).select("doc", "hash", "label"), "classes", small=True)
+    key = F.struct(F.col("doc").isNull().alias("none"), "doc", "hash")
+    least = rows.filter("label is not null").groupBy("label").agg(F.min(key).alias("least"))
+    gone = rows.join(least, "label").filter(~key.eqNullSafe(F.col("least"))).select(F.col("doc").alias("_gone"), F.col("hash").alias("_gone_hash")).distinct()
+    gone = written(gone, "gone", small=True)
+    hint = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    named = docs.withColumn("_text_hash", F.xxhash64(text))
+    kept = named.join(hint, named[doc_id].eqNullSafe(gone["_gone"]) & (named["_text_hash"] == gone["_gone_hash"]), "left_anti")
+    if not rows.groupBy("doc", "hash").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        kept = kept.dropDuplicates([doc_id, "_text_hash"])
+    return kept.select(*docs.columns)
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,7 +111,7 @@ def takings(planned: DataFrame, schedule: Sequence[tuple[float, float]] | None =
 
 def cut(text: Column, words: Column) -> Column:
     """The text up to the end of its ``words``-th word."""
-    return F.regexp_extract(text, F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), words.cast("string"), F.lit("}")), 0)
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), 0), F.lit(1), words.cast("int")), "")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

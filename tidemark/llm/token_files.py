@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.data import table
-from tidemark.llm.ordered import boundaries, part_of, text_parts
+from tidemark.llm.ordered import MOST_PARTS, boundaries, part_of, text_parts
 from tidemark.llm.storage import fresh_path
 
 LENGTH = 2048
@@ -255,6 +255,18 @@ def encode(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str
     return folder, shards
 
 
+def encode_in_file_order(docs: DataFrame, tokenizer: str, **options) -> tuple[str, list[dict]]:
+    """Encodes a table read from Parquet in the order of its files' names and the rows within them:
+    each file becomes a shard. By id where it was not read from files."""
+    names = sorted(f.rsplit("/", 1)[1] for f in docs.inputFiles())
+    if not names or len(set(names)) < len(names) or len(names) > MOST_PARTS:
+        return encode(docs, tokenizer, **options)
+    number = docs.sparkSession.createDataFrame(list(enumerate(names)), "_part int, _file string")
+    rows = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    rows = rows.join(F.broadcast(number), "_file")  # at most MOST_PARTS rows
+    return encode(rows, tokenizer, part=F.col("_part"), parts=len(names), order=(F.col("_row"),), **options)
+
+
 def digest(spark: SparkSession, folder: str, shards: list[dict]) -> DataFrame:
     """Reads the shards back: per document its id, place, length and the checksum of its ids."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
