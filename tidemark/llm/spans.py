@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import kernels as K
 from tidemark.llm.data import table
-from tidemark.llm.storage import written
+from tidemark.llm.storage import release, written
 
 LENGTH = 400
 GRAM = 16
@@ -93,34 +93,40 @@ def _anchors(length: int):
                 lft = np.where(left, hashes.of(np.where(left, p - half, p), np.where(left, p + GRAM, p)) ^ K.U64(1), K.U64(0))
                 yield pa.record_batch([
                     batch.column(0).slice(a, b - a).take(pa.array(text)), batch.column(1).slice(a, b - a).take(pa.array(text)),
-                    pa.array((s1 - begin).astype(np.int64)), pa.array((s2 - s1).astype(np.int32)),
+                    pa.array((s1 - begin).astype(np.int64)), pa.array((s2 - s1).astype(np.int32)), pa.array((p - s1).astype(np.int32)),
                     *[pa.array(x.view(np.int64)) for x in (hashes.of(s1, s2 + length), hashes.of(s1, s2 + length, 1))],
                     pa.array(r.view(np.int64), mask=~right), pa.array(lft.view(np.int64), mask=~left),
-                ], names=["doc", "hash", "at", "more", "f1", "f2", "r", "l"])
+                ], names=["doc", "hash", "at", "more", "off", "f1", "f2", "r", "l"])
 
     return anchors
 
 
-def _windows(length: int):
-    """doc, hash, wanted (list of at, more, context, single), text -> one row a window."""
+def _windows(length: int, ordered: bool):
+    """wanted (list of at, more, off, context, single, right, left), text -> one row a window that has
+    the half of its context which others share."""
+    half = (length - GRAM) // 2
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text")
-            for i, wanted in enumerate(batch.column("wanted").to_pylist()):
+            texts, wanted_lists = batch.column("text"), batch.column("wanted")
+            for i in range(batch.num_rows):
+                wanted = wanted_lists.slice(i, 1).to_pylist()[0]
                 data = np.frombuffer((texts[i].as_py() or "").encode(), dtype=np.uint8)
                 hashes = Hashes(data)
                 for some in (wanted[k : k + 500] for k in range(0, len(wanted), 500)):
-                    n = np.array([w["more"] + 1 for w in some])
-                    start = np.repeat(np.array([w["at"] for w in some]), n)
-                    rel = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                    start = start + rel
-                    context = np.repeat(np.array([w["context"] for w in some], dtype=np.int64), n)
-                    single = np.repeat(np.array([w["single"] for w in some], dtype=bool), n)
-                    yield pa.record_batch([
-                        pa.array(hashes.of(start, start + length).view(np.int64)), pa.array((hashes.of(start, start + length, 1) >> K.U64(32)).astype(np.uint32).view(np.int32)),
-                        pa.array(context), pa.array(rel.astype(np.int32)), pa.array(single), batch.column("order").slice(i, 1).take(pa.array(np.zeros(len(rel), dtype=np.int64))), pa.array(start),
-                    ], names=["h1", "h2", "context", "rel", "single", "order", "start"])
+                    get = lambda name, some=some: np.array([w[name] for w in some])
+                    low = np.where(get("left"), 0, np.maximum(get("off") - half, 0))
+                    high = np.where(get("right"), get("more"), np.minimum(get("more"), get("off") - half))
+                    n = np.maximum(high - low + 1, 0)
+                    rel = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - low, n)
+                    start = np.repeat(get("at"), n) + rel
+                    columns = {
+                        "h1": pa.array(hashes.of(start, start + length).view(np.int64)), "h2": pa.array((hashes.of(start, start + length, 1) >> K.U64(32)).astype(np.uint32).view(np.int32)),
+                        "context": pa.array(np.repeat(get("context"), n)), "rel": pa.array(rel.astype(np.int16)), "single": pa.array(np.repeat(get("single"), n)),
+                    }
+                    if ordered:
+                        columns |= {"order": batch.column("order").slice(i, 1).take(pa.array(np.zeros(len(rel), dtype=np.int64))), "start": pa.array(start)}
+                    yield pa.RecordBatch.from_pydict(columns)
 
     return windows
 
@@ -151,42 +157,74 @@ def _hit(rows: pa.RecordBatch, before: np.ndarray, behind: np.ndarray, keep: str
     return pa.record_batch([rows.column("context"), rows.column("rel")], names=["context", "rel"]).filter(pa.array(hit))
 
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spans = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            some = batch.slice(at, 500)
+            lists = [[{"s": a, "e": b} for a, b in merged(x)] for x in some.column("found").to_pylist()]
+            yield pa.record_batch([some.column("doc"), some.column("hash"), pa.array(lists, spans)], names=["doc", "hash", "found"])
+
+
+def _hint(df: DataFrame, most: int | None = None) -> DataFrame:
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if most is None else most) else df
+
+
+def _wanted(anchors: DataFrame, distinct: DataFrame, keep: str) -> DataFrame:
+    """The contexts whose windows must be looked at: one place each, and which halves others share."""
+    sides = F.array(F.struct(F.col("r").alias("key"), F.lit(True).alias("right")), F.struct(F.col("l").alias("key"), F.lit(False).alias("right")))
+    keys = distinct.select("f1", "f2", (F.col("n") == 1).alias("single"), F.explode(sides).alias("x")).select("f1", "f2", "single", "x.*").filter("key is not null")
+    shared = keys.groupBy("key").agg(F.count("*").alias("c"), F.max("single").alias("any")).filter(F.col("c") > 1)
+    shared = written((shared.filter("any") if keep == "none" else shared).select("key"), "shared", small=True)
+    need = keys.join(_hint(shared), "key", "left_semi").groupBy("f1", "f2").agg(F.max("single").alias("single"), F.max("right").alias("right"), F.max(~F.col("right")).alias("left"))
+    need = written(need, "need", small=True)
+    found = anchors.join(_hint(need), ["f1", "f2"]).groupBy("f1", "f2").agg(F.min(F.struct("doc", "hash", "at", "more", "off")).alias("of"), *[F.first(c).alias(c) for c in ("single", "right", "left")])
+    found = written(found.select("of.*", F.xxhash64("f1", "f2").alias("context"), "single", "right", "left"), "wanted", small=True)
+    release(anchors.sparkSession, shared, need)
+    return found
+
+
+def _matches(base: DataFrame, wanted: DataFrame, keep: str, length: int, kind: str) -> DataFrame:
+    """``context``, ``rels``: the windows of each context that repeat."""
+    spark = base.sparkSession
+    per_text = wanted.groupBy("doc", "hash").agg(F.collect_list(F.struct("at", "more", "off", "context", "single", "right", "left")).alias("wanted"))
+    per_text = written(per_text, "wanted-texts", small=True)
+    texts = base.join(_hint(per_text), base["doc"].eqNullSafe(per_text["doc"]) & (base["hash"] == per_text["hash"])).select(base["doc"].alias("order"), base["hash"], "wanted", "text")
+    ordered = keep == "first"
+    if ordered:
+        texts = texts.dropDuplicates(["order", "hash"])
+    rows = texts.select("wanted", "text", "order").mapInArrow(_windows(length, ordered), "h1 long, h2 int, context long, rel short, single boolean" + (f", order {kind}, start long" if ordered else ""))
+    place = [F.col("order").asc_nulls_first(), "start"] if ordered else []
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "h1").sortWithinPartitions("h1", "h2", *place)
+    hits = rows.mapInArrow(_matched(keep), "context long, rel short")
+    return written(hits.groupBy("context").agg(F.collect_list("rel").alias("rels")), "hits", small=True)  # at most LENGTH of a context
+
+
 def repeated(docs: DataFrame, keep: str = "none", length: int = LENGTH, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc``, ``hash`` (of the text) and ``found``, a list of byte ranges (s, e), which may touch
-    and overlap, for every text that loses something."""
+    """``doc``, ``hash`` (of the text) and ``found``, the byte ranges (s, e) that repeat, for every
+    text that loses something."""
     if keep not in ("none", "first"):
         raise ValueError(keep)
     spark = docs.sparkSession
-    hint = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
     base = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     kind = docs.schema[doc_id].dataType.simpleString()
-    anchors = written(base.mapInArrow(_anchors(length), f"doc {kind}, hash long, at long, more int, f1 long, f2 long, r long, l long"), "anchors")
-    distinct = anchors.groupBy("f1", "f2").agg(F.count("*").alias("n"), F.first("r").alias("r"), F.first("l").alias("l"))
-    keys = distinct.select("f1", "f2", (F.col("n") == 1).alias("single"), F.explode(F.array_compact(F.array("r", "l"))).alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("c"), F.max("single").alias("any")).filter(F.col("c") > 1)
-    shared = written((shared.filter("any") if keep == "none" else shared).select("key"), "shared", small=True)
-    need = written(keys.join(hint(shared), "key", "left_semi").select("f1", "f2", "single").distinct(), "need", small=True)
-    least = F.min(F.struct("doc", "hash", "at", "more"))
-    wanted = anchors.join(hint(need), ["f1", "f2"]).groupBy("f1", "f2").agg(least.alias("of"), F.first("single").alias("single"))
-    wanted = written(wanted.select("of.*", F.xxhash64("f1", "f2").alias("context"), "single"), "wanted", small=True)
-    per_text = wanted.groupBy("doc", "hash").agg(F.collect_list(F.struct("at", "more", "context", "single")).alias("wanted"))
-    per_text = written(per_text, "wanted-texts", small=True)
-    alike = lambda a, b: a["doc"].eqNullSafe(b["doc"]) & (a["hash"] == b["hash"])
-    texts = base.join(hint(per_text), alike(base, per_text)).select(base["doc"].alias("order"), base["hash"], "wanted", "text")
-    if keep == "first":
-        texts = texts.dropDuplicates(["order", "hash"])
-    rows = texts.select("wanted", "text", "order").mapInArrow(_windows(length), f"h1 long, h2 int, context long, rel int, single boolean, order {kind}, start long")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hits = rows.repartition(parts, "h1").sortWithinPartitions("h1", "h2", F.col("order").asc_nulls_first(), "start").mapInArrow(_matched(keep), "context long, rel int")
-    hits = written(hits.groupBy("context").agg(F.collect_list("rel").alias("rels")), "hits", small=True)  # at most LENGTH of a context
+    anchors = written(base.mapInArrow(_anchors(length), f"doc {kind}, hash long, at long, more int, off int, f1 long, f2 long, r long, l long"), "anchors")
+    distinct = written(anchors.groupBy("f1", "f2").agg(F.count("*").alias("n"), F.first("r").alias("r"), F.first("l").alias("l")), "contexts", small=True)
+    release(spark)
+    wanted = _wanted(anchors, distinct, keep)
+    hits = _matches(base, wanted, keep, length, kind)
+    release(spark)
     part = wanted.join(hits, "context").select("doc", "hash", F.explode(F.transform("rels", lambda r: F.struct((F.col("at") + r).alias("s"), (F.col("at") + r + length).alias("e")))).alias("x")).select("doc", "hash", "x.s", "x.e")
     again = written(distinct.filter("n > 1").select("f1", "f2"), "again", small=True)
-    whole = anchors.join(hint(again), ["f1", "f2"])
+    whole = anchors.join(_hint(again), ["f1", "f2"])
     if keep == "first":
-        first = whole.groupBy("f1", "f2").agg(least.alias("of"))
-        whole = whole.join(first, ["f1", "f2"]).filter(~F.struct("doc", "hash", "at", "more").eqNullSafe(F.col("of")))
+        first = whole.groupBy("f1", "f2").agg(F.min(F.struct("doc", "hash", "at")).alias("of"))
+        whole = whole.join(first, ["f1", "f2"]).filter(~F.struct("doc", "hash", "at").eqNullSafe(F.col("of")))
     whole = whole.select("doc", "hash", F.col("at").alias("s"), (F.col("at") + F.col("more") + length).alias("e"))
-    return whole.unionByName(part).groupBy("doc", "hash").agg(F.collect_list(F.struct("s", "e")).alias("found"))
+    found = whole.unionByName(part).groupBy("doc", "hash").agg(F.collect_list(F.struct("s", "e")).alias("found"))
+    found = written(found.mapInArrow(_merge, f"doc {kind}, hash long, found array<struct<s:long,e:long>>"), "found", small=True)
+    release(spark, anchors, distinct, wanted, hits, again)
+    return found
 
 
 def merged(found: list[dict]) -> list[tuple[int, int]]:
@@ -203,7 +241,7 @@ def merged(found: list[dict]) -> list[tuple[int, int]]:
 def removed(docs: DataFrame, keep: str = "none", length: int = LENGTH, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a row of ``docs``: its id, ``bytes`` left, ``n_bytes`` before, ``spans`` removed."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    found = written(repeated(docs, keep, length, doc_id=doc_id, text=text), "found", small=True)
+    found = repeated(docs, keep, length, doc_id=doc_id, text=text)
     base = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     cover = F.broadcast(found) if found.count() <= BROADCAST_ROWS and _list_bytes(found) <= 64 << 20 else found
     rows = base.join(cover, base["doc"].eqNullSafe(found["doc"]) & (base["hash"] == found["hash"]), "left").select(base["doc"], "text", "found")
@@ -215,7 +253,7 @@ def removed(docs: DataFrame, keep: str = "none", length: int = LENGTH, *, doc_id
                 out: list[tuple[int, list, bytes]] = []
                 for t, found in zip(some.column("text").to_pylist(), some.column("found").to_pylist(), strict=True):
                     raw = (t or "").encode()
-                    spans = merged(found or [])
+                    spans = [(x["s"], x["e"]) for x in found or []]
                     edges = [0, *(x for span in spans for x in span), len(raw)]
                     out.append((len(raw), [{"s": a, "e": b} for a, b in spans], b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))))
                 yield pa.record_batch([some.column("doc"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), pa.array([x[2] for x in out], pa.binary())], names=["doc", "n_bytes", "spans", "bytes"])

@@ -1,6 +1,7 @@
 """Where operators cut lineage: a folder that the driver and all executors share."""
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,10 +38,13 @@ def written(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files of a table made by :func:`written` that no later step reads."""
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/tidemark/" in file:
-            jvm = spark._jvm
-            path = jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables made by :func:`written` that no later step reads, and lets the driver collect
+    its garbage, upon which Spark removes the shuffle files that nothing refers to any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/tidemark/" in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
