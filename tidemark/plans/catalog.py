@@ -1,6 +1,8 @@
 """Queries over the test tables, one or more for each operator, and the SQL they must agree with."""
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +11,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions import scalars as S
 from tidemark.operators import alerts, dedup, evaluate, lookup, merge, monitoring, sampling, temporal
+from tidemark.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -175,6 +178,57 @@ def cooldown_alerts(spark, sf):
     return alerts.cooldown(m, "user_id", "t", "name", 172800.0, ["event_id"])
 
 
+def _streamed(spark: SparkSession, sf: str) -> DataFrame:
+    """The events table as a file stream."""
+    reader = spark.readStream.schema(_t(spark, sf, "events").schema)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/events.parquet")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return reader.parquet(f"{sf}/events.parquet")
+    return reader.option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+def _drained(spark: SparkSession, df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that is there; its rows, by way of the shared folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    folder = f"{base.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
+
+    def sink(batch: DataFrame, number: int) -> None:
+        if mode == "append":
+            batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        else:
+            batch.write.mode("overwrite").parquet(f"{folder}/rows")
+
+    writer = df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{folder}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{folder}/rows")
+
+
+@query(ORACLE_SQL["cooldown_alerts"].replace("SELECT user_id, t, name FROM fold", "SELECT user_id::VARCHAR AS source, t AS ts, name FROM fold"))
+def stream_alerts(spark, sf):
+    """T-1 T-2 T-3: the stateful stream gives what the batch operators give."""
+    e = _streamed(spark, sf)
+    rows = e.select(F.col("user_id").cast("string").alias("source"), S.seconds("ts").alias("ts"), F.col("event_id").alias("idx"), F.col("event_type").alias("name"), (F.col("value") / 490).alias("conf"))
+    out = live.live_alerts(rows, least=3, threshold=0.05, seconds=172800.0)
+    return _drained(spark, out, "stream-alerts").select("source", "ts", "name")
+
+
+@query("""WITH f AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS starts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM f)
+SELECT user_id, count(*) AS n, round_even((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e3::DOUBLE, 0)::BIGINT AS length_ms FROM s GROUP BY user_id, k""")
+def stream_sessions(spark, sf):
+    """W-1 as a stream: sessions with a gap of six hours."""
+    e = _streamed(spark, sf).select("user_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", "1 hour")
+    out = _drained(spark, live.sessions(e, "ts", "user_id", "6 hours"), "stream-sessions", "complete")
+    return out.select("user_id", "n", F.bround((F.unix_micros("last_ts") - F.unix_micros("first_ts")) / 1000).cast("long").alias("length_ms"))
+
+
+@query("SELECT x.name, x.source, x.value FROM (SELECT event_type, user_id, value, event_id FROM events WHERE value / 490 >= 0.5) e, LATERAL (SELECT 'detected' AS name, user_id::VARCHAR AS source, 1.0::DOUBLE AS value UNION ALL SELECT 'confidence', user_id::VARCHAR, e.value / 490) x")
+def detection_samples(spark, sf):
+    """T-5 P-14: two metric samples for each accepted prediction."""
+    rows = _t(spark, sf, "events").select(F.col("user_id").cast("string").alias("source"), F.col("event_type").alias("name"), (F.col("value") / 490).alias("conf"), "ts").filter("conf >= 0.5")
+    return live.detection_metrics(rows).select("name", F.col("labels")["source"].alias("source"), "value")
+
+
 @query("""WITH todo AS (SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)),
 r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS n FROM todo)
 SELECT doc_id FROM r WHERE k % greatest(1, n // least(10, n)) = 0 AND k < greatest(1, n // least(10, n)) * least(10, n)""")

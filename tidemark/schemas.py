@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+KINDS = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp_ntz": T.TimestampNTZType()}
+
+
 def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    return T.StructType([T.StructField(name, KINDS[kind]) for name, kind in (x.split() for x in text.split(", "))])
 
 
 TABLES: dict[str, T.StructType] = {
@@ -22,12 +25,13 @@ TABLES: dict[str, T.StructType] = {
 }
 KEYS = {"videos": ["video_name"], "detections": ["detection_uid"], "intervals": ["interval_uid"], "frames": ["frame_uid"], "frame_intervals": ["frame_uid", "interval_uid"], "annotations": ["annotation_uid"], "crops": ["crop_uid"], "live_detections": ["detection_uid"]}
 #: What a column holds where a row does not say.
-DEFAULTS = {"frames": {"is_duplicate": False}, "crops": {"is_duplicate": False, "label": "unsorted"}, "detections": {"label": "object"}}
+DEFAULTS = {"frames": {"is_duplicate": False}, "crops": {"is_duplicate": False, "label": "unsorted"}}
 INDEX_COLUMNS = ["video_name", "date", "time", "hour", "lighting", "split_group"]
-COCO = _schema(
-    "categories array<struct<id:bigint,name:string>>, images array<struct<id:bigint,file_name:string>>, "
-    "annotations array<struct<id:bigint,image_id:bigint,category_id:bigint,bbox:array<double>,area:double,iscrowd:int>>"
-)
+COCO = T.StructType([
+    T.StructField("categories", T.ArrayType(_schema("id bigint, name string"))),
+    T.StructField("images", T.ArrayType(_schema("id bigint, file_name string"))),
+    T.StructField("annotations", T.ArrayType(T.StructType([*_schema("id bigint, image_id bigint, category_id bigint"), T.StructField("bbox", T.ArrayType(T.DoubleType())), *_schema("area double, iscrowd int")]))),
+])
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:
