@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, importance, jaccard, mixing, token_files
 from tidemark.llm.data import table
-from tidemark.llm.storage import fresh_path
+from tidemark.llm.storage import fresh_path, written
 
 #: Beyond so many dropped ids they are joined by a shuffle and not broadcast.
 BROADCAST_ROWS = 1_000_000
@@ -19,7 +19,7 @@ BROADCAST_ROWS = 1_000_000
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` without the rows whose ``doc_id`` is in ``ids``."""
-    ids = ids.distinct()
+    ids = written(ids.distinct(), "ids", small=True)
     hint = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     return docs.join(hint, "doc_id", "left_anti").select(*docs.columns)
 

@@ -1,8 +1,11 @@
-"""Tables of a data folder, and defined behaviour for what they may hold."""
+"""Tables of a data folder."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.session import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

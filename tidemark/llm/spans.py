@@ -13,7 +13,8 @@ leave first. Each window of LENGTH bytes has an anchor, the least hash of its ``
 windows with one anchor form a context of at most 2*LENGTH bytes, and equal windows have equal
 anchors at equal places. Contexts that occur twice as a whole need no more than that. Of the rest,
 a window lies with LENGTH/2 bytes left or right of its anchor, so contexts that share neither half
-with another are unique. What remains (the borders of repeated passages, and one representative of
+with another are unique; of the others, an eighth of the window places at a time is held against
+the bytes that all windows there have. What remains (the borders of repeated passages, and one representative of
 each repeated context they may match) is ordered window by window. A passage in a third of all
 documents is one context, counted before it is shuffled; no group is gathered.
 
@@ -101,32 +102,60 @@ def _anchors(length: int):
     return anchors
 
 
+def _block_size(length: int) -> int:
+    return max(1, (length - GRAM) // 8)
+
+
+def _each_text(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Hashes, list[dict], pa.RecordBatch, int]]:
+    """The hashes of each text and what is wanted of it, some at a time."""
+    for batch in batches:
+        texts, wanted_lists = batch.column("text"), batch.column("wanted")
+        for i in range(batch.num_rows):
+            wanted = wanted_lists.slice(i, 1).to_pylist()[0]
+            hashes = Hashes(np.frombuffer((texts[i].as_py() or "").encode(), dtype=np.uint8))
+            for k in range(0, len(wanted), 500):
+                yield hashes, wanted[k : k + 500], batch, i
+
+
+def _blocks(length: int):
+    """wanted (list of at, more, off, context, single, right, left), text -> for each block of window
+    places in the shared halves, a hash of the bytes that all windows of the block have."""
+    half, size = (length - GRAM) // 2, _block_size(length)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for hashes, some, _, _ in _each_text(batches):
+            rows = []
+            for w in some:
+                low, high = w["off"] - w["more"], w["off"]  # windows start so many bytes before the anchor
+                low, high = (low if w["right"] else max(low, half)), (high if w["left"] else min(high, half))
+                anchor = w["at"] + w["off"]
+                rows += [(anchor - g * size, anchor - min(g * size + size - 1, length - GRAM) + length, g, w["context"], w["single"]) for g in range(low // size, high // size + 1) if low <= high]
+            begin, end, block, context, single = (np.array(x) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, dtype=np.int64),) * 5
+            key = hashes.of(begin, end) ^ block.astype(np.uint64)
+            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(block.astype(np.int32)), pa.array(context.astype(np.int64)), pa.array(single.astype(bool))], names=["key", "block", "context", "single"])
+
+    return blocks
+
+
 def _windows(length: int, ordered: bool):
-    """wanted (list of at, more, off, context, single, right, left), text -> one row a window that has
-    the half of its context which others share."""
-    half = (length - GRAM) // 2
+    """wanted (list of at, more, off, context, single, blocks), text -> one row a window of the blocks."""
+    size = _block_size(length)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, wanted_lists = batch.column("text"), batch.column("wanted")
-            for i in range(batch.num_rows):
-                wanted = wanted_lists.slice(i, 1).to_pylist()[0]
-                data = np.frombuffer((texts[i].as_py() or "").encode(), dtype=np.uint8)
-                hashes = Hashes(data)
-                for some in (wanted[k : k + 500] for k in range(0, len(wanted), 500)):
-                    get = lambda name, some=some: np.array([w[name] for w in some])
-                    low = np.where(get("left"), 0, np.maximum(get("off") - half, 0))
-                    high = np.where(get("right"), get("more"), np.minimum(get("more"), get("off") - half))
-                    n = np.maximum(high - low + 1, 0)
-                    rel = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - low, n)
-                    start = np.repeat(get("at"), n) + rel
-                    columns = {
-                        "h1": pa.array(hashes.of(start, start + length).view(np.int64)), "h2": pa.array((hashes.of(start, start + length, 1) >> K.U64(32)).astype(np.uint32).view(np.int32)),
-                        "context": pa.array(np.repeat(get("context"), n)), "rel": pa.array(rel.astype(np.int16)), "single": pa.array(np.repeat(get("single"), n)),
-                    }
-                    if ordered:
-                        columns |= {"order": batch.column("order").slice(i, 1).take(pa.array(np.zeros(len(rel), dtype=np.int64))), "start": pa.array(start)}
-                    yield pa.RecordBatch.from_pydict(columns)
+        for hashes, some, batch, i in _each_text(batches):
+            get = lambda name, some=some: np.array([w[name] for w in some])
+            n = get("more") + 1
+            rel = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            wanted = np.repeat(get("blocks"), n) >> ((np.repeat(get("off"), n) - rel) // size) & 1 > 0
+            rel, of = rel[wanted], np.repeat(np.arange(len(some)), n)[wanted]
+            start = get("at")[of] + rel
+            columns = {
+                "h1": pa.array(hashes.of(start, start + length).view(np.int64)), "h2": pa.array((hashes.of(start, start + length, 1) >> K.U64(32)).astype(np.uint32).view(np.int32)),
+                "context": pa.array(get("context")[of]), "rel": pa.array(rel.astype(np.int16)), "single": pa.array(get("single")[of]),
+            }
+            if ordered:
+                columns |= {"order": batch.column("order").slice(i, 1).take(pa.array(np.zeros(len(rel), dtype=np.int64))), "start": pa.array(start)}
+            yield pa.RecordBatch.from_pydict(columns)
 
     return windows
 
@@ -184,12 +213,21 @@ def _wanted(anchors: DataFrame, distinct: DataFrame, keep: str) -> DataFrame:
     return found
 
 
+def _texts_of(base: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """The texts of which something is wanted, with the list of it."""
+    per_text = written(wanted.groupBy("doc", "hash").agg(F.collect_list(F.struct(*columns)).alias("wanted")), "wanted-texts", small=True)
+    return base.join(_hint(per_text), base["doc"].eqNullSafe(per_text["doc"]) & (base["hash"] == per_text["hash"])).select(base["doc"].alias("order"), base["hash"], "wanted", "text")
+
+
 def _matches(base: DataFrame, wanted: DataFrame, keep: str, length: int, kind: str) -> DataFrame:
     """``context``, ``rels``: the windows of each context that repeat."""
     spark = base.sparkSession
-    per_text = wanted.groupBy("doc", "hash").agg(F.collect_list(F.struct("at", "more", "off", "context", "single", "right", "left")).alias("wanted"))
-    per_text = written(per_text, "wanted-texts", small=True)
-    texts = base.join(_hint(per_text), base["doc"].eqNullSafe(per_text["doc"]) & (base["hash"] == per_text["hash"])).select(base["doc"].alias("order"), base["hash"], "wanted", "text")
+    texts = _texts_of(base, wanted, ["at", "more", "off", "context", "single", "right", "left"])
+    keys = written(texts.select("wanted", "text").mapInArrow(_blocks(length), "key long, block int, context long, single boolean"), "blocks", small=True)
+    shared = keys.groupBy("key").agg(F.count("*").alias("c"), F.max("single").alias("any")).filter(F.col("c") > 1)
+    shared = written((shared.filter("any") if keep == "none" else shared).select("key"), "shared-blocks", small=True)
+    kept = keys.join(_hint(shared), "key", "left_semi").groupBy("context").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("block"))).alias("blocks"))
+    texts = _texts_of(base, written(wanted.join(kept, "context"), "narrowed", small=True), ["at", "more", "off", "context", "single", "blocks"])
     ordered = keep == "first"
     if ordered:
         texts = texts.dropDuplicates(["order", "hash"])
