@@ -50,7 +50,7 @@ def inverse(u: Column, knots: Sequence[tuple[float, float]]) -> Column:
         if abs(slope) < 1e-12:
             step = need / F.lit(w0)
         else:  # w0*x + slope*x^2/2 = need, in the form without cancellation
-            step = 2 * need / (F.lit(w0) + F.sqrt(F.greatest(F.lit(w0 * w0) + 2 * slope * need, F.lit(0.0))))
+            step = F.when(need > 0, F.try_divide(2 * need, F.lit(float(w0)) + F.sqrt(F.greatest(F.lit(float(w0 * w0)) + 2 * slope * need, F.lit(0.0))))).otherwise(F.lit(0.0))
         done += part
         cases.append((done / total, F.lit(t0) + step))
     for upto, value in reversed(cases):
