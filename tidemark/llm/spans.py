@@ -199,18 +199,25 @@ def _hint(df: DataFrame, most: int | None = None) -> DataFrame:
     return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if most is None else most) else df
 
 
-def _wanted(anchors: DataFrame, distinct: DataFrame, keep: str) -> DataFrame:
-    """The contexts whose windows must be looked at: one place each, and which halves others share."""
+def _needed(distinct: DataFrame, keep: str) -> DataFrame:
+    """The contexts whose windows must be looked at, and which of their halves others share."""
     sides = F.array(F.struct(F.col("r").alias("key"), F.lit(True).alias("right")), F.struct(F.col("l").alias("key"), F.lit(False).alias("right")))
     keys = distinct.select("f1", "f2", (F.col("n") == 1).alias("single"), F.explode(sides).alias("x")).select("f1", "f2", "single", "x.*").filter("key is not null")
     shared = keys.groupBy("key").agg(F.count("*").alias("c"), F.max("single").alias("any")).filter(F.col("c") > 1)
-    shared = written((shared.filter("any") if keep == "none" else shared).select("key"), "shared", small=True)
-    need = keys.join(_hint(shared), "key", "left_semi").groupBy("f1", "f2").agg(F.max("single").alias("single"), F.max("right").alias("right"), F.max(~F.col("right")).alias("left"))
-    need = written(need, "need", small=True)
-    found = anchors.join(_hint(need), ["f1", "f2"]).groupBy("f1", "f2").agg(F.min(F.struct("doc", "hash", "at", "more", "off")).alias("of"), *[F.first(c).alias(c) for c in ("single", "right", "left")])
-    found = written(found.select("of.*", F.xxhash64("f1", "f2").alias("context"), "single", "right", "left"), "wanted", small=True)
-    release(anchors.sparkSession, shared, need)
-    return found
+    shared = (shared.filter("any") if keep == "none" else shared).select("key")
+    return keys.join(shared, "key", "left_semi").groupBy("f1", "f2").agg(F.max("single").alias("single"), F.max("right").alias("right"), F.max(~F.col("right")).alias("left"))
+
+
+def _marked(anchors: DataFrame, keep: str) -> DataFrame:
+    """The places of contexts that occur again as a whole (``again``) or must be looked at (``needed``)."""
+    distinct = written(anchors.groupBy("f1", "f2").agg(F.count("*").alias("n"), F.first("r").alias("r"), F.first("l").alias("l")), "contexts", small=True)
+    release(anchors.sparkSession)
+    again = distinct.filter("n > 1").select("f1", "f2", F.lit(True).alias("again"))
+    flags = written(again.join(_needed(distinct, keep).withColumn("needed", F.lit(True)), ["f1", "f2"], "full_outer"), "flags", small=True)
+    release(anchors.sparkSession, distinct)
+    marked = written(anchors.drop("r", "l").join(flags, ["f1", "f2"]), "marked", small=True)
+    release(anchors.sparkSession, flags, anchors)
+    return marked
 
 
 def _texts_of(base: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
@@ -247,21 +254,20 @@ def repeated(docs: DataFrame, keep: str = "none", length: int = LENGTH, *, doc_i
     base = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     kind = docs.schema[doc_id].dataType.simpleString()
     anchors = written(base.mapInArrow(_anchors(length), f"doc {kind}, hash long, at long, more int, off int, f1 long, f2 long, r long, l long"), "anchors")
-    distinct = written(anchors.groupBy("f1", "f2").agg(F.count("*").alias("n"), F.first("r").alias("r"), F.first("l").alias("l")), "contexts", small=True)
-    release(spark)
-    wanted = _wanted(anchors, distinct, keep)
+    marked = _marked(anchors, keep)
+    one = marked.filter("needed").groupBy("f1", "f2").agg(F.min(F.struct("doc", "hash", "at", "more", "off")).alias("of"), *[F.first(c).alias(c) for c in ("single", "right", "left")])
+    wanted = written(one.select("of.*", F.xxhash64("f1", "f2").alias("context"), "single", "right", "left"), "wanted", small=True)
     hits = _matches(base, wanted, keep, length, kind)
     release(spark)
     part = wanted.join(hits, "context").select("doc", "hash", F.explode(F.transform("rels", lambda r: F.struct((F.col("at") + r).alias("s"), (F.col("at") + r + length).alias("e")))).alias("x")).select("doc", "hash", "x.s", "x.e")
-    again = written(distinct.filter("n > 1").select("f1", "f2"), "again", small=True)
-    whole = anchors.join(_hint(again), ["f1", "f2"])
+    whole = marked.filter("again")
     if keep == "first":
         first = whole.groupBy("f1", "f2").agg(F.min(F.struct("doc", "hash", "at")).alias("of"))
         whole = whole.join(first, ["f1", "f2"]).filter(~F.struct("doc", "hash", "at").eqNullSafe(F.col("of")))
     whole = whole.select("doc", "hash", F.col("at").alias("s"), (F.col("at") + F.col("more") + length).alias("e"))
     found = whole.unionByName(part).groupBy("doc", "hash").agg(F.collect_list(F.struct("s", "e")).alias("found"))
     found = written(found.mapInArrow(_merge, f"doc {kind}, hash long, found array<struct<s:long,e:long>>"), "found", small=True)
-    release(spark, anchors, distinct, wanted, hits, again)
+    release(spark, marked, wanted, hits)
     return found
 
 
