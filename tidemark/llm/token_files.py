@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -39,6 +40,9 @@ END_ID = 2
 #: Pieces of text between blanks are encoded once a worker; at most so many are kept, none longer.
 CACHE_PIECES, CACHE_CHARS = 1_000_000, 48
 
+#: Letters, then ASCII marks without apostrophe: the tokenizer cuts there too.
+WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-^`{-~]*)")
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -63,7 +67,6 @@ class Encoder:
             self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
             for token, i in self.tokenizer.get_vocab().items():
                 self.ends_word[i] = token.endswith(mark)
-        self.marks = dict(zip(("", ".", ","), self._encode(["", ".", ","]), strict=True))
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -97,16 +100,18 @@ class Encoder:
             if len(p) > CACHE_CHARS:
                 long.append(p)
                 continue
-            word, tail = (p[:-1], p[-1]) if p[-1:] in (".", ",") else (p, "")
-            if word.isalpha() and self.ends_word is not None:
-                words[p] = (word.lower() if word.isascii() else word, tail)
+            m = WORD_AND_MARKS.fullmatch(p) if self.ends_word is not None else None
+            if m and m[1].isalpha():
+                words[p] = (m[1].lower() if m[1].isascii() else m[1], m[2])
             else:
                 plain.append(p)
         cache.update(zip(plain, self._encode(plain), strict=True))
+        tails = list({t for _, t in words.values()}.difference(cache))
+        cache.update(zip(tails, self._encode(tails), strict=True))
         new = list({w for w, _ in words.values()}.difference(cache))
         cache.update(zip(new, self._encode_words(new), strict=True))
         for p, (word, tail) in words.items():
-            cache[p] = cache[word] + self.marks[tail]
+            cache[p] = cache[word] + cache[tail]
         return dict(zip(long, self._encode(long), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
