@@ -74,3 +74,29 @@ def test_one_of_each_group(spark):
     docs = spark.createDataFrame([(1, body, 0), (1, body, 0), (2, body + " tail", 1), (3, "other words here", 2), (None, body, 3), (None, "lonely", 4), (5, "", 5)], "doc_id long, text string, extra int")
     kept = sorted((r["doc_id"] or 0, r["text"]) for r in jaccard.representatives(docs).collect())
     assert kept == [(0, "lonely"), (1, body), (3, "other words here"), (5, "")]
+
+
+def test_stages_bear_nulls_repeats_and_clashing_columns(spark, tmp_path):
+    item = " ".join(f"b{i}" for i in range(20))
+    tables = {
+        "benchmark": spark.createDataFrame([(1, item), (None, None)], "item_id long, text string"),
+        "labels": spark.createDataFrame([(1, 1, 0), (2, 0, None), (None, None, 1)], "doc_id long, quality int, toxic int"),
+    }
+    for name, df in tables.items():
+        df.write.parquet(f"file://{tmp_path}/sf/{name}.parquet")
+    rows = [(None, item, None, None, 7), (None, "clean text of a document", "fr", "a", 8), (1, "some good words in a row", "en", "a", 1), (1, "some good words in a row", "en", "a", 2), (2, None, None, "b", 3), (3, "", "en", None, 4), (4, "word " * 50_000, "en", "c", 5), (4, "another text, same id", "de", "c", 6)]
+    docs = spark.createDataFrame([(d, t, lang, s, None if t is None else len(t), extra, "x") for d, t, lang, s, extra in rows], "doc_id long, text string, lang string, source string, n_chars long, size int, _text string")
+    for empty in (False, True):
+        now = docs.limit(0) if empty else docs
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, now, f"file://{tmp_path}/sf")
+            path = f"file://{tmp_path}/{empty}/{i}"
+            out.write.parquet(path)
+            now = spark.read.parquet(path)
+            if i < 4:
+                assert now.columns == docs.columns
+                kept = {(r["doc_id"], r["size"]) for r in now.collect()}
+                assert kept <= {(d, e) for d, _, _, _, e in rows}
+            if i == 2 and not empty:
+                assert (None, 7) not in kept and (None, 8) in kept
+        assert (now.count() == 0) == empty

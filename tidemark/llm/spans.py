@@ -223,7 +223,8 @@ def _marked(anchors: DataFrame, keep: str) -> DataFrame:
 def _texts_of(base: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
     """The texts of which something is wanted, with the list of it."""
     per_text = written(wanted.groupBy("doc", "hash").agg(F.collect_list(F.struct(*columns)).alias("wanted")), "wanted-texts", small=True)
-    return base.join(_hint(per_text), base["doc"].eqNullSafe(per_text["doc"]) & (base["hash"] == per_text["hash"])).select(base["doc"].alias("order"), base["hash"], "wanted", "text")
+    few = per_text.count() <= BROADCAST_ROWS and wanted.count() <= 4 * BROADCAST_ROWS  # at most about 64 bytes each
+    return base.join(F.broadcast(per_text) if few else per_text, base["doc"].eqNullSafe(per_text["doc"]) & (base["hash"] == per_text["hash"])).select(base["doc"].alias("order"), base["hash"], "wanted", "text")
 
 
 def _matches(base: DataFrame, wanted: DataFrame, keep: str, length: int, kind: str) -> DataFrame:
