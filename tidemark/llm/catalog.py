@@ -16,6 +16,8 @@ QUERIES = {
     "op7_mixing": mixing.op7_mixing,
 }
 ORACLE_SQL = {
+    "op2_jaccard": jaccard.OP2_SQL,
+    "op6_substrings": spans.OP6_SQL,
     "op5_decontamination": decontamination.OP5_SQL,
     "op7_mixing": mixing.OP7_SQL,
 }

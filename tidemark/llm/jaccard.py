@@ -311,3 +311,23 @@ def representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return few_files(join(table(spark, sf_dir, "documents")))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, list_aggregate(w[p:p + 4], 'string_agg', ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT i.x, i.y, a.n = i.i AND b.n = i.i AS copy
+  FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL) i
+  JOIN n a ON a.doc_id = i.x JOIN n b ON b.doc_id = i.y
+  WHERE i.i >= 0.8::DOUBLE * (a.n + b.n - i.i) - 1e-9),
+reach AS (SELECT doc_id, doc_id AS other FROM w UNION SELECT r.doc_id, p.y FROM reach r JOIN p ON p.x = r.other)
+SELECT w.doc_id, c.class_id, coalesce(l.n_links, 0)::BIGINT AS n_links, least(w.doc_id, coalesce(l.copy_of, w.doc_id)) AS copy_of
+FROM w JOIN (SELECT doc_id, min(other) AS class_id FROM reach GROUP BY 1) c USING (doc_id)
+LEFT JOIN (SELECT x AS doc_id, count(*) AS n_links, min(y) FILTER (copy) AS copy_of FROM p GROUP BY 1) l USING (doc_id)
+"""

@@ -314,3 +314,17 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = removed(table(spark, sf_dir, "documents"))
     n = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])
     return out.select("doc_id", "n_bytes", n.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("bytes", 256).alias("kept_sha256"))
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+win AS (SELECT doc_id, p, b[p:p + 399] AS s FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 398)) AS p FROM d WHERE octet_length(b) >= 400)),
+dup AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY hash(s), md5(s)) AS n FROM win) WHERE n > 1),
+isl AS (SELECT doc_id, min(p) AS a, max(p) + 400 AS e FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS g
+  FROM (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 400 THEN 0 ELSE 1 END AS new FROM dup)) GROUP BY doc_id, g),
+cut AS (SELECT doc_id, list(a ORDER BY a) AS a, list(e ORDER BY a) AS e, sum(e - a) AS n, count(*) AS k FROM isl GROUP BY doc_id),
+kept AS (SELECT d.doc_id, d.b, coalesce(n, 0) AS n, coalesce(k, 0) AS k, list_concat([1], coalesce(e, [])) AS s, list_concat(coalesce(a, []), [octet_length(b) + 1]) AS f FROM d LEFT JOIN cut USING (doc_id))
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, n::BIGINT AS n_removed, k::BIGINT AS n_spans,
+  sha256(unhex(list_aggregate(list_transform(list_zip(s, f), lambda x: hex(b[x[1]:x[2] - 1])), 'string_agg', ''))) AS kept_sha256
+FROM kept
+"""
