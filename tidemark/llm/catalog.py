@@ -16,6 +16,7 @@ QUERIES = {
     "op7_mixing": mixing.op7_mixing,
 }
 ORACLE_SQL = {
+    "op4_secrets": secrets.OP4_SQL,
     "op2_jaccard": jaccard.OP2_SQL,
     "op6_substrings": spans.OP6_SQL,
     "op5_decontamination": decontamination.OP5_SQL,

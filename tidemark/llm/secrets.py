@@ -140,3 +140,42 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
     return df.select("doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), F.sha2(told(F.col("base")).cast("binary"), 256).alias("base_sha256"), told(F.array_sort(F.concat("base", "entropy"))).alias("spans"), F.size("entropy").cast("long").alias("n_entropy"))
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+kinds AS (SELECT * FROM (VALUES
+  (0, 'assign', '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+'), (1, 'access', 'AKIA[A-Z0-9]+'), (2, 'hex', '[0-9a-f]{16,}'),
+  (3, 'entropy_hex', '[0-9A-Fa-f]{20,}'), (4, 'entropy_base64', '[A-Za-z0-9+/_=-]{20,}')) v(k, kind, p)),
+hit AS (
+  SELECT doc_id, k, kind, regexp_extract_all(t, CASE k WHEN 0 THEN '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+' WHEN 1 THEN 'AKIA[A-Z0-9]+' WHEN 2 THEN '[0-9a-f]{16,}' WHEN 3 THEN '[0-9A-Fa-f]{20,}' ELSE '[A-Za-z0-9+/_=-]{20,}' END) AS m,
+    regexp_extract_all(t, '([\s\S]*?)(?:' || p || ')', 1) AS g
+  FROM d, kinds),
+found AS (
+  SELECT doc_id, k, kind, m[i] AS m, list_sum(list_transform(g[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::BIGINT AS s
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM hit)),
+base AS (
+  SELECT doc_id, k, kind, s, s + length(m) AS e FROM found
+  WHERE k = 0 AND length(regexp_extract(m, '^(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 12 OR k = 1 AND length(m) >= 18 OR k = 2),
+runs AS (
+  SELECT * FROM found
+  WHERE k >= 3 AND NOT regexp_matches(m, '(?i)example|placeholder|changeme|your[_-]?(?:api|key|token|secret)|0123456789|abcdefghijkl')
+    AND NOT regexp_matches(m, '^[0-9]+$|^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$')
+    AND len(list_filter(range(1, length(m) - 6), lambda i: m[i:i + 7] = repeat(m[i], 8))) = 0),
+wins AS (
+  SELECT *, string_split(m[p:p + 19], '') AS c FROM (SELECT *, unnest(range(1, length(m) - 18)) AS p FROM runs)),
+hot AS (
+  SELECT doc_id, k, kind, s, p - 1 AS a FROM wins
+  WHERE list_sum(list_transform(list_distinct(c), lambda x: round(len(list_filter(c, lambda y: y = x)) * log2(len(list_filter(c, lambda y: y = x))) * 1048576)))
+    <= floor((log2(20) - CASE k WHEN 3 THEN 3.0 ELSE 3.9 END) * 20 * 1048576)),
+isl AS (
+  SELECT doc_id, k, kind, s + min(a) AS s, s + max(a) + 20 AS e
+  FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id, k, s ORDER BY a ROWS UNBOUNDED PRECEDING) AS g
+    FROM (SELECT *, CASE WHEN a - lag(a) OVER (PARTITION BY doc_id, k, s ORDER BY a) <= 20 THEN 0 ELSE 1 END AS n FROM hot))
+  GROUP BY doc_id, k, kind, s, g),
+spans AS (SELECT *, 1 AS b FROM base UNION ALL SELECT *, 0 FROM isl)
+SELECT d.doc_id, coalesce(count(*) FILTER (k = 0), 0) AS n_assign, coalesce(count(*) FILTER (k = 1), 0) AS n_access, coalesce(count(*) FILTER (k = 2), 0) AS n_hex,
+  sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k, e) FILTER (b = 1), '')) AS base_sha256,
+  coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k, e), '') AS spans, coalesce(count(*) FILTER (b = 0), 0) AS n_entropy
+FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id
+"""
