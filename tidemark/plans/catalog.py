@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import scalars as S
-from tidemark.operators import alerts, dedup, evaluate, lookup, merge, monitoring, sampling, temporal
+from tidemark import schemas
+from tidemark.operators import alerts, dedup, evaluate, lookup, merge, models, monitoring, sampling, temporal
 from tidemark.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -553,3 +554,108 @@ def exclusions(spark, sf):
     """P-7 P-12 J-14 O-3: reserved names out, and what was done before."""
     done = _t(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
     return lookup.missing(_t(spark, sf, "orders").filter(~F.col("o_orderpriority").isin("1-URGENT", "5-LOW")), done, ["o_orderkey"]).select("o_orderkey", "o_orderpriority")
+
+
+@query("SELECT page_id, url FROM pages WHERE lower(regexp_extract(regexp_extract(url, '[^/]*$'), '.(\\.[^.]*)$', 1)) IN ('.html', '.htm')")
+def suffix_filter(spark, sf):
+    """P-11 S-13: a whitelist of suffixes, case ignored."""
+    return _t(spark, sf, "pages").filter(S.has_suffix("url", [".HTML", ".htm"])).select("page_id", "url")
+
+
+@query("SELECT count(*) AS n_rows, count(l.doc_id) AS n_matched, count(*) - count(l.doc_id) AS n_missing, count(*) FILTER (l.quality = 0) AS n_rejected FROM documents d LEFT JOIN labels l USING (doc_id)")
+def run_counters(spark, sf):
+    """A-14 P-10 P-13 P-17 P-18: what a run saw, matched, missed and rejected."""
+    labels = _t(spark, sf, "labels").select("doc_id", "quality", F.lit(1).alias("hit"))
+    rows = _t(spark, sf, "documents").select("doc_id").join(labels, "doc_id", "left")
+    n = F.count("*")
+    return rows.agg(n.alias("n_rows"), F.count("hit").alias("n_matched"), (n - F.count("hit")).alias("n_missing"), F.count(F.when(F.col("quality") == 0, 1)).alias("n_rejected"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
+def delete_matched(spark, sf):
+    """J-3 J-12: DELETE with IN, as what is kept."""
+    open_ = _t(spark, sf, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return lookup.missing(_t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), open_, ["l_orderkey"])
+
+
+def _box_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames with up to 16 boxes, made of vectors."""
+    v = F.transform(F.slice("embedding", 1, 16), lambda x, i: F.struct((i * 10.0).alias("x1"), F.lit(0.0).alias("y1"), (i * 10.0 + F.abs(x).cast("double") * 400).alias("x2"), (F.abs(x).cast("double") * 300).alias("y2"), F.abs(x).cast("double").alias("confidence")))
+    vid = F.col("vec_id").cast("string")
+    return _t(spark, sf, "embeddings").select(F.concat(F.lit("v"), F.col("label").cast("string")).alias("video_name"), (F.col("vec_id") * 5.0).alias("timestamp_seconds"), F.lit(640).alias("width"), F.lit(480).alias("height"), F.concat(F.lit("frm_"), vid).alias("frame_uid"), F.concat(F.lit("f"), vid, F.lit(".jpg")).alias("frame_name"), v.alias("boxes"))
+
+
+_BOXES = "boxes AS (SELECT vec_id, label, i, abs(embedding[i + 1])::DOUBLE AS c, i * 10.0::DOUBLE AS x1, i * 10.0::DOUBLE + abs(embedding[i + 1])::DOUBLE * 400 AS x2, abs(embedding[i + 1])::DOUBLE * 300 AS y2 FROM embeddings, range(16) t(i))"
+
+
+@query(f"""WITH {_BOXES} SELECT 'det_' || substr(sha1('v' || label || chr(31) || 'm' || chr(31) || (vec_id * 5.0::DOUBLE)::VARCHAR || chr(31)), 1, 16) AS detection_uid, 'v' || label AS video_name, vec_id * 5.0::DOUBLE AS timestamp_seconds,
+round_even(max(c) * 10000, 0) / 10000 AS confidence FROM boxes WHERE c >= 0.25 GROUP BY vec_id, label""")
+def frame_detections(spark, sf):
+    """A-4 M-1 P-16 P-20: the best box of each frame that has one."""
+    return models.detections(_box_frames(spark, sf), "m").select("detection_uid", "video_name", "timestamp_seconds", "confidence")
+
+
+@query(f"""WITH {_BOXES}, big AS (SELECT *, x2 - x1 AS w, y2 AS h FROM boxes WHERE c >= 0.3 AND x2 - x1 >= 50 AND y2 >= 50),
+p AS (SELECT *, greatest(0, round_even(x1 - w * 0.15::DOUBLE, 0)::INTEGER) AS l, greatest(0, round_even(0 - h * 0.15::DOUBLE, 0)::INTEGER) AS t, least(640, round_even(x1 + w + w * 0.15::DOUBLE, 0)::INTEGER) AS r, least(480, round_even(h + h * 0.15::DOUBLE, 0)::INTEGER) AS b FROM big)
+SELECT 'frm_' || vec_id AS frame_uid, 'f' || vec_id || '__box_' || i || '.jpg' AS crop_path, r - l AS crop_width, b - t AS crop_height FROM p WHERE r > l AND b > t""")
+def box_crops(spark, sf):
+    """M-2 W-14 T-8 F-7 S-15: each box a crop, padded and inside the frame."""
+    return models.crops(_box_frames(spark, sf)).select("frame_uid", "crop_path", "crop_width", "crop_height")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'crops/' || p_partkey ELSE '/other/' || p_partkey END AS path, CASE WHEN p_partkey % 3 = 0 THEN p_partkey::INTEGER END AS device, floor(p_retailprice)::BIGINT::VARCHAR AS version,
+greatest(0, p_size - 20) AS "left", least(30, p_size + 5) AS "right" FROM part""")
+def path_and_device(spark, sf):
+    """F-4 F-8 F-24 F-25: relative paths, clipping, model versions, device numbers."""
+    p = _t(spark, sf, "part")
+    key = F.col("p_partkey").cast("string")
+    path = S.relative_path(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("/data/crops/"), key)).otherwise(F.concat(F.lit("/other/"), key)), "/data")
+    source = F.when(F.col("p_partkey") % 3 == 0, key).otherwise(F.concat(F.lit("rtsp://"), key))
+    box = S.clipped_box((F.col("p_size") - 20).cast("double"), F.lit(0.0), (F.col("p_size") + 5).cast("double"), F.lit(9.0), F.lit(30), F.lit(9))
+    return p.select("p_partkey", path.alias("path"), S.device_id(source).alias("device"), S.model_version("p_retailprice").alias("version"), box["left"].alias("left"), box["right"].alias("right"))
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def key_violations(spark, sf):
+    """D-13: an invariant to check where there is no unique index."""
+    edges = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("frame_uid"), F.col("l_linenumber").alias("interval_uid"))
+    return schemas.violations(edges, "frame_intervals").select(F.col("frame_uid").alias("l_orderkey"), F.col("interval_uid").alias("l_linenumber"), "n")
+
+
+@query("SELECT event_id::VARCHAR AS crop_uid, coalesce(CASE WHEN value > 100 THEN event_type END, 'unsorted') AS label, false AS is_duplicate, NULL::DOUBLE AS padding FROM events")
+def schema_defaults(spark, sf):
+    """D-11 D-12 P-19: columns added with their defaults, surplus ones dropped."""
+    rows = _t(spark, sf, "events").select(F.col("event_id").cast("string").alias("crop_uid"), F.when(F.col("value") > 100, F.col("event_type")).alias("label"), F.lit("gone").alias("annotation_uid"))
+    return merge.reset(schemas.conform(rows, "crops"), "is_duplicate", False).select("crop_uid", "label", "is_duplicate", "padding")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'new' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 4 = 0 THEN -1.0::DOUBLE WHEN o_orderkey % 3 <> 0 OR o_orderkey % 4 <> 0 THEN o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 4 = 0")
+def upsert_subset(spark, sf):
+    """D-2 D-4: known keys keep what the update does not list; new keys come whole."""
+    o = _t(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    source = o.filter("o_orderkey % 4 = 0").select("o_orderkey", F.lit("new").alias("o_orderstatus"), F.lit(-1.0).alias("o_totalprice"))
+    return merge.upsert(o.filter("o_orderkey % 3 <> 0"), source, ["o_orderkey"], ["o_orderstatus"])
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY value, event_id) - 1 AS rank FROM events")
+def global_ranks(spark, sf):
+    """O-5: ranks of a total order without a sort in one task."""
+    e = _t(spark, sf, "events").select("event_id", "value")
+    return sampling.ranked(e, ["value", "event_id"], "rank").select("event_id", "rank")
+
+
+@query("""SELECT label, count(*) AS n FROM (SELECT f.n_name AS folder, l.label, row_number() OVER (PARTITION BY f.n_name ORDER BY length(l.label) DESC, l.label) AS k
+FROM nation f JOIN (SELECT lower(n_name) AS label FROM nation WHERE n_nationkey BETWEEN 1 AND 12) l ON contains(lower(f.n_name), lower(l.label))) g JOIN nation n ON n.n_name = g.folder JOIN customer ON c_nationkey = n_nationkey WHERE k = 1 GROUP BY label""")
+def scattered_labels(spark, sf):
+    """A-7 S-16: members of groups take the label that their folder's name holds."""
+    n = _t(spark, sf, "nation")
+    chosen = lookup.longest_label(n.select(F.col("n_name").alias("folder")), "folder", n.filter(F.col("n_nationkey").between(1, 12)).select(F.lower("n_name").alias("label")), "label")
+    members = _t(spark, sf, "customer").join(n.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("folder")), "c_nationkey")
+    return members.join(chosen, "folder").groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type, user_id, max_by(value, ts) AS value FROM events WHERE value / 490 < 0.9 GROUP BY 1, 2 HAVING count(*) >= 2")
+def gauge_series(spark, sf):
+    """Q-3 Q-5: one last value a series, of series with two samples at least."""
+    e = _t(spark, sf, "events").filter(F.col("value") / 490 < 0.9)
+    return e.groupBy("event_type", "user_id").agg(F.max_by("value", "ts").alias("value"), F.count("*").alias("_n")).filter("_n >= 2").drop("_n")
