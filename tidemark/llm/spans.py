@@ -83,7 +83,7 @@ def _anchors(length: int):
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = K.buffers(batch.column(2))
-            for a, b, part, off in K.chunks(data, offsets):
+            for a, b, part, off in K.chunks(data, offsets, 1 << 19):
                 hashes, text, s1, s2, p = contexts(part, off, length)
                 if not len(text):
                     continue
