@@ -176,9 +176,9 @@ def _labels(linked: np.ndarray) -> np.ndarray:
     """The least index that each row of a symmetric matrix reaches."""
     m = len(linked)
     np.fill_diagonal(linked, True)
-    label = np.arange(m)
+    label = np.arange(m, dtype=np.int32)
     while True:
-        new = np.where(linked, label[None, :], m).min(axis=1)
+        new = np.where(linked, label[None, :], np.int32(m)).min(axis=1)
         new = np.minimum(new, new[new])
         if (new == label).all():
             return label
@@ -206,7 +206,7 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
         block = np.zeros((m, width), dtype=np.float32)
         block[row[lo:hi], column[lo:hi] - a] = 1
         out += block @ block.T
-    return out.astype(np.int64)
+    return out
 
 
 def _linked(bucket: int, sets: list[np.ndarray], ids: list[bytes], copies: np.ndarray, where: list[list[int]], similarity: float) -> tuple[np.ndarray, list[bytes]]:
@@ -214,7 +214,10 @@ def _linked(bucket: int, sets: list[np.ndarray], ids: list[bytes], copies: np.nd
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
     inter = _intersections(sets)
-    alike = inter >= similarity * (sizes[:, None] + sizes[None, :] - inter) - 1e-9
+    alike = np.empty((m, m), dtype=bool)
+    for i in range(0, m, 256):
+        n = inter[i : i + 256].astype(np.float64)
+        alike[i : i + 256] = n >= similarity * (sizes[i : i + 256, None] + sizes[None, :] - n) - 1e-9
     np.fill_diagonal(alike, False)
     root = [ids[x] for x in _labels(alike.copy()).tolist()]  # ids are sorted
     lesser: dict[int, list[int]] = {}

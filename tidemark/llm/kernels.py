@@ -65,7 +65,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(data: np.ndarray, offsets: np.ndarray, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Consecutive runs of whole texts of about ``limit`` bytes (one long text may exceed it):
     first and last row, bytes, offsets."""
     n, a = len(offsets) - 1, 0

@@ -38,7 +38,7 @@ LENGTH = 2048
 BATCH = 64
 END_ID = 2
 #: Pieces of text between blanks are encoded once a worker; at most so many are kept, none longer.
-CACHE_PIECES, CACHE_CHARS = 1_000_000, 48
+CACHE_PIECES, CACHE_CHARS = 600_000, 48
 
 #: Letters, then ASCII marks without apostrophe: the tokenizer cuts there too.
 WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-^`{-~]*)")
