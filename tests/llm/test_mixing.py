@@ -83,6 +83,29 @@ def test_takings_follow_the_schedule(spark):
     assert spark.range(1).select(mixing.cut(F.lit("  a\tb  c d"), F.lit(3))).first()[0] == "  a\tb  c"
 
 
+def test_each_source_follows_its_own_schedule(spark):
+    rows = [(i, "w " * 10, "abc"[i % 3]) for i in range(900)]
+    planned = mixing.plan(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    taken = mixing.takings(planned).collect()
+    early = {s: sum(r["words_taken"] for r in taken if r["source"] == s and r["position"] < 0.5) / sum(r["words_taken"] for r in taken if r["source"] == s) for s in "abc"}
+    assert early == pytest.approx({"a": 0.75, "b": 0.5, "c": 0.25}, abs=0.01)
+    assert [r["position"] for r in taken] == sorted(r["position"] for r in taken)
+    # areas count for each source alone
+    steep = [[(0.0, 6.0), (1.0, 0.0)], mixing.CONSTANT, mixing.CONSTANT]
+    areas = {r["source"]: r["target"] for r in mixing.plan(spark.createDataFrame(rows, "doc_id long, text string, source string"), schedules=steep).collect()}
+    assert areas == pytest.approx({"a": 9000 * 3 / 8, "b": 9000 * 2 / 8, "c": 9000 * 3 / 8})
+
+
+def test_query_is_in_training_order(spark):
+    """Documents of sources that fade out come before those of sources that fade in."""
+    sf = "/root/testdata/sf0.01"
+    source = {r["doc_id"]: r["source"] for r in table(spark, sf, "documents").collect()}
+    rank = {s: i for i, s in enumerate(sorted(set(source.values())))}
+    order = [rank[source[r["doc_id"]]] % 3 for r in mixing.op7_mixing(spark, sf).collect() if r["taken"]]
+    mean = [sum(i for i, k in enumerate(order) if k == x) / order.count(x) for x in range(3)]
+    assert mean[0] < mean[1] < mean[2]
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     docs = {r["doc_id"]: r for r in table(spark, sf, "documents").collect()}

@@ -1,7 +1,7 @@
 """Mixing sources to target weights: a time-varying curriculum.
 
-Each source has a weight schedule over curriculum time 0..1, piecewise linear between knots. Its
-integral gives the source's share of all words; a share may not pass ``max_repeats`` times the
+Each source has a weight schedule of its own over curriculum time 0..1, piecewise linear between
+knots. Its integral times the source's weight gives the source's share of all words; a share may not pass ``max_repeats`` times the
 source's size, and what is above is shared again by weight until none is above (water filling).
 Documents of a source stand in a hashed order; cumulative word demand along it, inverted through
 the integrated schedule, is each taking's training position, and takings are range-sorted by it.
@@ -22,22 +22,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.data import table
-from tidemark.llm.storage import few_files, written
+from tidemark.llm.storage import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 4096
 CONSTANT = ((0.0, 1.0), (1.0, 1.0))
+#: Schedules of the sources by code point, repeating: fading out, constant, fading in; of area 1 each.
+SCHEDULES = (((0.0, 2.0), (1.0, 0.0)), CONSTANT, ((0.0, 0.0), (1.0, 2.0)))
+
+Knots = Sequence[tuple[float, float]]
 
 
 def sized(docs: DataFrame, text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def area(knots: Sequence[tuple[float, float]]) -> float:
+def area(knots: Knots) -> float:
     return sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(knots, knots[1:], strict=False))
 
 
-def inverse(u: Column, knots: Sequence[tuple[float, float]]) -> Column:
+def inverse(u: Column, knots: Knots) -> Column:
     """The curriculum time at which the share ``u`` (0..1) of a schedule's area is used up."""
     total, done, out = area(knots), 0.0, F.lit(float(knots[-1][0]))
     cases = []
@@ -58,11 +62,11 @@ def inverse(u: Column, knots: Sequence[tuple[float, float]]) -> Column:
     return out
 
 
-def plan(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats: int = 3, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", schedule: Sequence[tuple[float, float]] | None = None) -> DataFrame:
+def plan(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats: int = 3, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", schedules: Sequence[Knots] = SCHEDULES) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target``, ``taken`` and the inner columns
-    ``_begin`` (words of the source before this document) and ``_demand`` (words the source gives).
-    Sources by code point weigh ``weights``, repeating, times the area of ``schedule``."""
-    scale = area(schedule or CONSTANT)
+    ``_source``, ``_rank`` (of the source by code point, from 0), ``_begin`` (words of the source
+    before this document), ``_demand`` (words the source gives) and ``_full`` (whole passes over it).
+    Sources by code point weigh ``weights`` times the areas of ``schedules``, both repeating."""
     names = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
     base = docs.select(
         *names,
@@ -74,7 +78,8 @@ def plan(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats: int =
     totals = written(base.groupBy("_source", "_bucket").agg(F.sum("size").alias("n"), F.first(source).alias("name")), "mix-totals", small=True)
     by_source = totals.groupBy("_source").agg(F.sum("n").alias("source_size"), F.first("name", ignorenulls=True).alias("name"))
     # From here to `goals` one row a source.
-    ranked = by_source.withColumn("_weight", F.element_at(F.array(*[F.lit(float(w) * scale) for w in weights]), ((F.row_number().over(Window.orderBy(F.col("name").asc_nulls_last())) - 1) % len(weights)) + 1))
+    turn = lambda values: F.element_at(F.array(*[F.lit(float(v)) for v in values]), F.col("_rank") % len(values) + 1)
+    ranked = by_source.withColumn("_rank", F.row_number().over(Window.orderBy(F.col("name").asc_nulls_last())) - 1).withColumn("_weight", turn(weights) * turn([area(s) for s in schedules]))
     cap = F.col("source_size") * max_repeats
     fill = Window.orderBy((cap / F.col("_weight")).asc(), F.col("name").asc_nulls_last())
     upto, behind = fill.rowsBetween(Window.unboundedPreceding, -1), fill.rowsBetween(0, Window.unboundedFollowing)
@@ -82,10 +87,11 @@ def plan(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats: int =
     level = (F.sum("source_size").over(everything) - F.coalesce(F.sum(cap).over(upto), F.lit(0))) / F.sum("_weight").over(behind)
     goals = (
         ranked.withColumn("_level", level)
+        .withColumn("_at", F.row_number().over(fill))  # sources that fill up at the same level have an order too
         .withColumn("_fits", F.col("_level") * F.col("_weight") <= cap)
-        .withColumn("_level", F.min(F.when(F.col("_fits"), F.struct(cap / F.col("_weight"), F.col("_level")))).over(everything)["_level"])
+        .withColumn("_level", F.min(F.when(F.col("_fits"), F.struct("_at", "_level"))).over(everything)["_level"])
         .withColumn("target", F.when(F.col("_level").isNull(), cap.cast("double")).otherwise(F.least(cap.cast("double"), F.col("_weight") * F.col("_level"))))
-        .select("_source", "source_size", "target", F.floor(F.col("target") + 0.5).cast("long").alias("_demand"))
+        .select("_source", "_rank", "source_size", "target", F.floor(F.col("target") + 0.5).cast("long").alias("_demand"))
     )
     before = totals.select("_source", "_bucket", F.coalesce(F.sum("n").over(Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     starts = before.join(goals, "_source")
@@ -94,17 +100,25 @@ def plan(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats: int =
     full = F.expr("if(source_size = 0, 0L, _demand div source_size)")
     rest = F.col("_demand") - F.col("_full") * F.col("source_size")
     part = F.greatest(F.least(rest - F.col("_begin"), F.col("size")), F.lit(0))
-    return begun.withColumn("_full", full).withColumn("taken", F.col("_full") * F.col("size") + part).select(*names, "size", "source_size", "target", "taken", "_begin", "_demand", "_full")
+    return begun.withColumn("_full", full).withColumn("taken", F.col("_full") * F.col("size") + part).select(*names, "size", "source_size", "target", "taken", "_source", "_rank", "_begin", "_demand", "_full")
 
 
-def takings(planned: DataFrame, schedule: Sequence[tuple[float, float]] | None = None) -> DataFrame:
+def placed(planned: DataFrame, schedules: Sequence[Knots] = SCHEDULES) -> DataFrame:
     """One row for each time a document is taken: ``words_taken`` of this taking and its training
-    ``position`` 0..1; sorted by position across partitions."""
+    ``position`` 0..1, by the schedule of its source."""
     whole = F.col("taken") - F.col("_full") * F.col("size")
     times = F.col("_full") + (whole > 0).cast("int")
     rows = planned.filter(F.col("taken") > 0).withColumn("_pass", F.explode(F.sequence(F.lit(0), (times - 1).cast("int"))))
-    offset = (F.col("_pass") * F.col("source_size") + F.col("_begin")) / F.col("_demand")
-    rows = rows.withColumn("words_taken", F.when(F.col("_pass") < F.col("_full"), F.col("size")).otherwise(whole)).withColumn("position", inverse(F.least(offset, F.lit(1.0)), schedule or CONSTANT))
+    share = F.least((F.col("_pass") * F.col("source_size") + F.col("_begin")) / F.col("_demand"), F.lit(1.0))
+    position = inverse(share, schedules[-1])
+    for i in reversed(range(len(schedules) - 1)):
+        position = F.when(F.col("_rank") % len(schedules) == i, inverse(share, schedules[i])).otherwise(position)
+    return rows.withColumn("words_taken", F.when(F.col("_pass") < F.col("_full"), F.col("size")).otherwise(whole)).withColumn("position", position)
+
+
+def takings(planned: DataFrame, schedule: Knots | None = None, *, schedules: Sequence[Knots] = SCHEDULES) -> DataFrame:
+    """:func:`placed`, sorted by position across partitions. ``schedule``: one for all sources."""
+    rows = placed(planned, [schedule] if schedule else schedules)
     parts = int(planned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartitionByRange(parts, "position").sortWithinPartitions("position")
 
@@ -115,7 +129,17 @@ def cut(text: Column, words: Column) -> Column:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return few_files(plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken"))
+    """One row a document, with the words of all its takings, in the order of their first training
+    positions; documents that are never taken come last."""
+    names = ["doc_id", "size", "source_size", "target"]
+    planned = written(plan(table(spark, sf_dir, "documents")).select(*names, "taken", "_source", "_rank", "_begin", "_demand", "_full"), "mix-plan", small=True)
+    # documents that are taken have words, so that no two of a source begin at the same one
+    first = [F.first(c).alias(c) for c in names]
+    taken = placed(planned).groupBy("_source", "_begin").agg(*first, F.sum("words_taken").alias("taken"), F.min("position").alias("_first"))
+    never = 2 + F.pmod(F.xxhash64("doc_id", "_begin"), F.lit(1 << 20)) / F.lit(float(1 << 20))  # dealt over tasks
+    rows = taken.select(*names, "taken", "_first").unionByName(planned.filter("taken = 0").select(*names, "taken", never.alias("_first")))
+    parts = max(2, spark.sparkContext.defaultParallelism)
+    return rows.repartitionByRange(parts, "_first").sortWithinPartitions("_first").select(*names, "taken")
 
 
 OP7_SQL = r"""
