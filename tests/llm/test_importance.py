@@ -18,6 +18,22 @@ def test_held_out_accuracy(spark):
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.05
 
 
+def test_held_out_toxic_documents_go(spark):
+    """Fitted on the labels of even ids, held against toxic ones of odd ids."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    kept = {r["doc_id"] for r in imp.resample(docs, labels.filter("doc_id % 2 = 0")).collect()}
+    odd = labels.filter("doc_id % 2 = 1 and quality = 1").collect()
+    toxic, good = ([r["doc_id"] in kept for r in odd if r["toxic"] == x] for x in (1, 0))
+    print(f"kept: toxic {np.mean(toxic):.3f} of {len(toxic)}, good {np.mean(good):.4f} of {len(good)}")
+    assert np.mean(toxic) < 0.2 and np.mean(good) > 0.98
+
+
+def test_toxicity_is_the_most_telling_n_grams():
+    ratio = np.array([0, 5, -9, 7, 1, 2], dtype=np.int64) * imp.UNIT
+    grams, first = np.array([3, 3, 1, 4, 5, 2, 2, 0, 4]), np.array([0, 6, 6, 8, 9])
+    assert imp._toxicity(ratio, grams, first).tolist() == [14, 0, 0, 1]
+
+
 def test_scores_follow_the_formula(spark):
     docs = spark.createDataFrame([(1, "good words here", 0), (2, "bad ### text", 0), (3, None, 0), (3, None, 0), (None, "", 1), (4, "x" * 100_000, 1)], "doc_id long, text string, keep int")
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, None), (None, None, None)], "doc_id long, quality int, toxic int")
