@@ -39,6 +39,21 @@ def test_reading():
     assert t("<div>" * 3000 + "deep") == "deep"
 
 
+def test_names_of_wrappers_do_not_take_the_article():
+    t = st.main_text
+    for name in ("content no-sidebar", "has-sidebar", "elementor-widget-container", "with-header", "widget", "sidebar"):
+        assert t(f"<div class='{name}'><article><h1>H</h1><p>text</article></div><div class=ad>buy</div>") == "H text", name
+        assert t(f"<div class='{name}'><p>a long text of the page</div><div class=ad>buy</div>") == "a long text of the page", name
+    assert t("<article><div class=entry-header><h1>H</h1></div><div class=header>sub</div><p>text</article>") == "H sub text"
+    assert t("<article><div class=elementor-widget-container><p>one</div><div class='elementor-widget-container'><p>two</div></article>") == "one two"
+    assert t("<div class=widget>a</div><div class=promo>b</div>") == "a b"
+    assert t("<p>text</p><div class=comments>much longer words of many readers</div>") == "text"
+    assert t("<div class=sidebar><article>art</article><div class=ad>ad</div></div>") == "art"
+    assert t("<article>post</article><div class=comments><article>reader</article></div><div class=related><article>another</article></div>") == "post"
+    assert t("<div class=widget><article>the post</article><div class=related><article>other</article></div></div>") == "the post"
+    assert t("<p>kept <span class=ad>ad</span> here</p><div class='widget-area'>w</div><nav>n</nav>") == "kept here"
+
+
 def brute(pages):
     """Importance by the formulas, of one host's pages."""
     node_pages, shapes, texts, parent = defaultdict(int), defaultdict(lambda: defaultdict(int)), defaultdict(lambda: defaultdict(int)), {}

@@ -36,6 +36,10 @@ NOISE_NAMES = frozenset(
     "breadcrumbs pagination pager share sharing social related recommended comment comments commentlist disqus reply replies respond login "
     "footer masthead topbar header skip hidden".split()
 )
+#: Words that may stand beside these in a name ("widget-area"); any other clears it ("no-sidebar").
+BESIDE = frozenset("site page main top bottom left right primary secondary global side area bar box list section block wrapper wrap container inner slot buttons button links link".split())
+#: Names of what readers write, which is no article however long it is.
+READERS = frozenset("comment comments commentlist disqus reply replies respond".split())
 
 
 @dataclass
@@ -43,8 +47,9 @@ class Element:
     tag: str
     key: int
     parent: int
-    noise: bool  # by tag, role or name, of itself or of an ancestor
+    noise: bool  # by tag or role, of itself or of an ancestor
     article: bool  # inside the page's article or main part
+    named: int = 0  # the nearest name that says noise, of itself or of an ancestor; 0: none
     names: frozenset = frozenset()
     children: list = field(default_factory=list)
     text: list = field(default_factory=list)
@@ -57,6 +62,17 @@ class Block:
     path: tuple
     noise: bool
     article: bool
+    pieces: list = field(default_factory=list)  # (text, named)
+
+
+@dataclass
+class Named:
+    """An element whose name says noise."""
+
+    above: int  # the next such name above, or 0
+    readers: bool
+    inside: bool  # within the page's article or main part
+    holds: bool = False  # the page's article, so that the name does not count
 
 
 _keys: dict[tuple, int] = {}
@@ -72,36 +88,45 @@ def style_key(parent: int, tag: str, names: frozenset) -> int:
     return _keys[known]
 
 
-def _attributes(raw: str) -> tuple[frozenset, str, bool]:
-    names, role, hidden = frozenset(), "", False
+def _says_noise(value: str) -> frozenset:
+    """The noise words of those class or id tokens that have no words but such and ``BESIDE``."""
+    out = frozenset()
+    for token in value.split():
+        words = frozenset(WORDS.findall(token))
+        if words and words <= NOISE_NAMES | BESIDE:
+            out |= words & NOISE_NAMES
+    return out
+
+
+def _attributes(raw: str) -> tuple[frozenset, frozenset, str, bool]:
+    names, noisy, role, hidden = frozenset(), frozenset(), "", False
     for m in ATTRIBUTE.finditer(raw):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
             names |= frozenset(WORDS.findall(value))
+            noisy |= _says_noise(value)
         elif name == "role":
             role = value.strip()
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
             hidden = True
         elif name == "aria-modal":
             role = role or "dialog"
-    return names, role, hidden
+    return names, noisy, role, hidden
 
 
 def read(page: str) -> Iterator[Element | Block]:
     """Elements as they end, and blocks of text as they end, in page order of their ends."""
     root = Element("", 0, 0, False, False)
     stack = [root]
-    text: list[str] = []
+    text: list[tuple[str, int]] = []
+    known = [Named(0, False, False)]
     out: list[Element | Block] = []
 
     def flush() -> None:
         if text:
-            found = " ".join("".join(text).split())
+            top = next(e for e in reversed(stack) if e.tag in BLOCK or e is root)
+            out.append(Block("", top.key, tuple(e.key for e in stack[1:]), stack[-1].noise, stack[-1].article, text.copy()))
             text.clear()
-            if found:
-                top = next(e for e in reversed(stack) if e.tag in BLOCK or e is root)
-                top.text.append(found)
-                out.append(Block(found, top.key, tuple(e.key for e in stack[1:]), stack[-1].noise, stack[-1].article))
 
     def pop(to: int) -> None:
         while len(stack) > to:
@@ -123,7 +148,7 @@ def read(page: str) -> Iterator[Element | Block]:
     for m in TOKEN.finditer(page):
         if m.start() > at and not stack[-1].noise:
             piece = page[at : m.start()]
-            text.append(html.unescape(piece) if "&" in piece else piece)
+            text.append((html.unescape(piece) if "&" in piece else piece, stack[-1].named))
         at = m.end()
         tag = (m[3] or m[6] or "").lower()
         if not tag:
@@ -142,7 +167,7 @@ def read(page: str) -> Iterator[Element | Block]:
             continue
         if tag in ("br", "wbr"):
             if tag == "br" and not stack[-1].noise:
-                text.append(" ")
+                text.append((" ", stack[-1].named))
             continue
         if tag in BLOCK:
             flush()
@@ -154,18 +179,62 @@ def read(page: str) -> Iterator[Element | Block]:
                     break
         if tag in SIBLINGS:
             closes(SIBLINGS[tag], CONTAINER[tag])
-        names, role, hidden = _attributes(m[4] or m[7] or "")
+        names, noisy, role, hidden = _attributes(m[4] or m[7] or "")
         above = stack[-1]
         article = above.article or tag in ("article", "main") or role in ("main", "article")
-        noise = above.noise or hidden or tag in NOISE_TAGS or role in NOISE_ROLES or bool(names & NOISE_NAMES and tag not in ("html", "body", "article", "main")) or (tag == "header" and not above.article) or (tag == "article" and above.article and bool(names & NOISE_NAMES))
+        noise = above.noise or hidden or tag in NOISE_TAGS or role in NOISE_ROLES or (tag == "header" and not above.article)
+        if above.article:
+            noisy -= {"header"}  # the head of the article, as the tag
+        named = above.named
+        if noisy and tag not in ("html", "body", "main") and (tag != "article" or above.article):
+            known.append(Named(above.named, bool(noisy & READERS), above.article))
+            named = len(known) - 1
         key = style_key(above.key, tag, names)
         above.children.append(tag)
         if tag in VOID:
             continue
-        stack.append(Element(tag, key, above.key, noise, article, names))
+        stack.append(Element(tag, key, above.key, noise, article, named, names))
     if at < len(page) and not stack[-1].noise:
         piece = page[at:]
-        text.append(html.unescape(piece) if "&" in piece else piece)
+        text.append((html.unescape(piece) if "&" in piece else piece, stack[-1].named))
     flush()
     pop(1)
-    return iter(out)
+    return iter(_resolved(out, known))
+
+
+def _resolved(out: list[Element | Block], known: list[Named]) -> list[Element | Block]:
+    """Takes the text of elements whose name says noise out of the blocks. Names do not count for
+    what holds the page's longest article, where none stands outside such elements, or, on a page
+    without, most of its text (but for readers' words); nor for a page that would have no text left."""
+    blocks = [x for x in out if isinstance(x, Block)]
+    if len(known) > 1:
+        size, parts, within = [0] * len(known), [0] * len(known), 0  # parts: of articles, by what stands around them
+        for b in blocks:
+            for piece, named in b.pieces:
+                n = 0 if b.noise else len(piece.strip())
+                within += n
+                around = named
+                while around and known[around].inside:
+                    around = known[around].above
+                parts[around] += n * b.article
+                while named:
+                    size[named] += n
+                    named = known[named].above
+        if any(parts):
+            at = 0 if parts[0] else parts.index(max(parts))
+            while at and not known[at].readers:
+                known[at].holds, at = True, known[at].above
+        else:
+            for x, n in zip(known[1:], size[1:], strict=True):
+                x.holds = 2 * n > within and not x.readers
+
+    def gone(named: int) -> bool:
+        while named and known[named].holds:
+            named = known[named].above
+        return named > 0
+
+    left = any(piece.strip() and not gone(named) for b in blocks if not b.noise for piece, named in b.pieces)
+    for b in blocks:
+        b.text = " ".join("".join(piece for piece, named in b.pieces if not (left and gone(named))).split())
+        b.pieces = []
+    return [x for x in out if not isinstance(x, Block) or x.text]
