@@ -38,6 +38,9 @@ NOISE_NAMES = frozenset(
 )
 #: Words that may stand beside these in a name ("widget-area"); any other clears it ("no-sidebar").
 BESIDE = frozenset("site page main top bottom left right primary secondary global side area bar box list section block wrapper wrap container inner slot buttons button links link".split())
+#: Elements that come in any number: all of one parent are one node of the style tree. Of others without
+#: a name the first, second and so on below a parent are nodes of their own.
+REPEATING = frozenset("a abbr b br cite code dd dt em h1 h2 h3 h4 h5 h6 hr i img li mark option p pre q s small span strong sub sup tbody td th tr u".split())
 #: Names of what readers write, which is no article however long it is.
 READERS = frozenset("comment comments commentlist disqus reply replies respond".split())
 
@@ -50,8 +53,10 @@ class Element:
     noise: bool  # by tag or role, of itself or of an ancestor
     article: bool  # inside the page's article or main part
     named: int = 0  # the nearest name that says noise, of itself or of an ancestor; 0: none
+    mute: bool = False  # its text is not read: noise within a line
     names: frozenset = frozenset()
     children: list = field(default_factory=list)
+    counts: dict = field(default_factory=dict)
     text: list = field(default_factory=list)
 
 
@@ -60,7 +65,7 @@ class Block:
     text: str
     key: int
     path: tuple
-    noise: bool
+    noise: bool  # by tag or role, or all of it by name
     article: bool
     pieces: list = field(default_factory=list)  # (text, named)
 
@@ -78,13 +83,16 @@ class Named:
 _keys: dict[tuple, int] = {}
 
 
-def style_key(parent: int, tag: str, names: frozenset) -> int:
-    """A node of the style tree: the path of tags and names from the root."""
-    known = (parent, tag, names)
+def style_key(above: Element, tag: str, names: frozenset) -> int:
+    """A node of the style tree: the path of tags, names and places from the root."""
+    place = 0
+    if not names and tag not in REPEATING:
+        place = above.counts[tag] = above.counts.get(tag, -1) + 1
+    known = (above.key, tag, names, place)
     if known not in _keys:
         if len(_keys) > 200_000:
             _keys.clear()
-        _keys[known] = xxhash.xxh64_intdigest(f"{parent}/{tag}.{'.'.join(sorted(names))}") >> 1
+        _keys[known] = xxhash.xxh64_intdigest(f"{above.key}/{tag}.{'.'.join(sorted(names))}{f':{place}' if place else ''}") >> 1
     return _keys[known]
 
 
@@ -124,8 +132,8 @@ def read(page: str) -> Iterator[Element | Block]:
 
     def flush() -> None:
         if text:
-            top = next(e for e in reversed(stack) if e.tag in BLOCK or e is root)
-            out.append(Block("", top.key, tuple(e.key for e in stack[1:]), stack[-1].noise, stack[-1].article, text.copy()))
+            at = next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag in BLOCK or not i)
+            out.append(Block("", stack[at].key, tuple(e.key for e in stack[1 : at + 1]), stack[-1].noise, stack[-1].article, text.copy()))
             text.clear()
 
     def pop(to: int) -> None:
@@ -146,7 +154,7 @@ def read(page: str) -> Iterator[Element | Block]:
 
     at = 0
     for m in TOKEN.finditer(page):
-        if m.start() > at and not stack[-1].noise:
+        if m.start() > at and not stack[-1].mute:
             piece = page[at : m.start()]
             text.append((html.unescape(piece) if "&" in piece else piece, stack[-1].named))
         at = m.end()
@@ -166,7 +174,7 @@ def read(page: str) -> Iterator[Element | Block]:
                     flush()
             continue
         if tag in ("br", "wbr"):
-            if tag == "br" and not stack[-1].noise:
+            if tag == "br" and not stack[-1].mute:
                 text.append((" ", stack[-1].named))
             continue
         if tag in BLOCK:
@@ -189,12 +197,12 @@ def read(page: str) -> Iterator[Element | Block]:
         if noisy and tag not in ("html", "body", "main") and (tag != "article" or above.article):
             known.append(Named(above.named, bool(noisy & READERS), above.article))
             named = len(known) - 1
-        key = style_key(above.key, tag, names)
+        key = style_key(above, tag, names)
         above.children.append(tag)
         if tag in VOID:
             continue
-        stack.append(Element(tag, key, above.key, noise, article, named, names))
-    if at < len(page) and not stack[-1].noise:
+        stack.append(Element(tag, key, above.key, noise, article, named, above.mute or (noise and not above.noise and tag not in BLOCK), names))
+    if at < len(page) and not stack[-1].mute:
         piece = page[at:]
         text.append((html.unescape(piece) if "&" in piece else piece, stack[-1].named))
     flush()
@@ -203,9 +211,10 @@ def read(page: str) -> Iterator[Element | Block]:
 
 
 def _resolved(out: list[Element | Block], known: list[Named]) -> list[Element | Block]:
-    """Takes the text of elements whose name says noise out of the blocks. Names do not count for
-    what holds the page's longest article, where none stands outside such elements, or, on a page
-    without, most of its text (but for readers' words); nor for a page that would have no text left."""
+    """Takes the text of elements whose name says noise out of the blocks; a block of such text only
+    keeps it, as noise. Names do not count for what holds the page's longest article, where none stands
+    outside such elements, or, on a page without, most of its text (but for readers' words); nor for a
+    page that would have no text left."""
     blocks = [x for x in out if isinstance(x, Block)]
     if len(known) > 1:
         size, parts, within = [0] * len(known), [0] * len(known), 0  # parts: of articles, by what stands around them
@@ -235,6 +244,9 @@ def _resolved(out: list[Element | Block], known: list[Named]) -> list[Element |
 
     left = any(piece.strip() and not gone(named) for b in blocks if not b.noise for piece, named in b.pieces)
     for b in blocks:
-        b.text = " ".join("".join(piece for piece, named in b.pieces if not (left and gone(named))).split())
+        kept = b.pieces if b.noise or not left else [x for x in b.pieces if not gone(x[1])]
+        b.text = " ".join("".join(piece for piece, _ in kept).split())
+        if not b.text and len(kept) < len(b.pieces):
+            b.text, b.noise = " ".join("".join(piece for piece, _ in b.pieces).split()), True
         b.pieces = []
     return [x for x in out if not isinstance(x, Block) or x.text]

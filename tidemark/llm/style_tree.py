@@ -1,19 +1,25 @@
 """Main text of web pages by site style trees.
 
-The DOMs of a host's pages are merged into one tree: a node is a path of tags and class names. A
-node's presentation importance is the entropy of the child sequences that pages show below it; its
-content importance is one less the mean entropy of its texts over the pages they are on; both in
-units of log m, m being the pages that have the node, so that what looks or reads the same on every
-page has none, and what is on one page only has all. A branch (a node with all below it) of less than
-``LEAST`` anywhere is removed from each page of the host, once ``PAGES`` pages have shown it. Texts
-inside an ``article`` or ``main`` element are the article, and of them only branches of boxes (``div``,
-``section``, lists, tables) can be low. Elements whose tag, role or name says that they are menus,
-headers, footers, sidebars, notices, adverts, forms or reader comments are no article anywhere. If
+The DOMs of a host's pages are merged into one tree: a node is a path of tags, class names and, for
+boxes without names, places among their like. A node's presentation importance is the entropy of the
+child sequences that pages show below it; its content importance is one less the mean entropy of its
+texts over the pages they are on; both in units of log m, m being the pages that have the node, so
+that what looks or reads the same on every page has none, and what is on one page only has all. A
+branch (a node with all below it) is worth as much as its most important node. From the second page
+of a host on, the tree decides, for every block of text:
+
+* a branch worth less than ``LEAST`` goes, within an ``article`` or ``main`` element only if it is a
+  box (``div``, ``section``, a list, a table);
+* outside such an element, a branch worth less than ``POOR`` goes unless it holds half of the page's text.
+
+What the tree has not enough pages to tell, or finds important on each page (readers' comments, adverts
+that differ), goes by its tag, role or name: menus, headers, footers, sidebars, notices, adverts, forms,
+comments. Of what is left, blocks of an ``article`` or ``main`` element are the text if there are any. If
 the tree would remove a page's whole text, it removes nothing from that page.
 
 Counts of (host, node, child sequence or text) are added up before they meet, and a host with a third
-of all pages is many nodes in many tasks. Pages are read twice and shuffled only where the low nodes
-are too many to broadcast.
+of all pages is many nodes in many tasks. Pages are read twice. Low nodes are broadcast, or, where
+they are too many, joined by host and one of ``SALTS`` shares of its pages.
 
 Defined results: null html is empty and gives an empty text; a null url is a host of its own;
 repeated rows stay; an empty table gives no rows.
@@ -32,9 +38,10 @@ from tidemark.llm.data import table
 from tidemark.llm.html_dom import Block, read
 from tidemark.llm.storage import written
 
-LEAST = 0.2
-PAGES = 4
+LEAST, POOR = 0.2, 0.75
+PAGES = 2
 BROADCAST_ROWS = 300_000
+SALTS = 32
 BOXES = frozenset("div section ul ol dl table details figure header aside nav".split())
 PAGE, SHAPE, TEXT, BELOW = range(4)
 
@@ -90,11 +97,15 @@ def importance(pages: DataFrame) -> DataFrame:
 
 
 def low_branches(pages: DataFrame) -> DataFrame:
-    """``host``, ``node`` of the branches without importance: a node whose importance and that of
-    all nodes below it is less than ``LEAST``. Important nodes save the nodes above them, a level
-    at a time, until no node is saved."""
+    """``host``, ``node``, ``poor`` of the branches without importance: a node whose importance and
+    that of all nodes below it is less than ``LEAST``, or (``poor``) less than ``POOR``."""
     nodes = written(importance(pages).filter(F.col("node") != 0), "style-tree", small=True)
-    low = nodes.filter((F.col("pages") >= PAGES) & (F.col("importance") < LEAST)).select("host", "node", "parent")
+    return _branches(nodes, LEAST).withColumn("poor", F.lit(False)).unionByName(_branches(nodes, POOR).withColumn("poor", F.lit(True)))
+
+
+def _branches(nodes: DataFrame, least: float) -> DataFrame:
+    """Important nodes save the nodes above them, a level at a time, until no node is saved."""
+    low = nodes.filter((F.col("pages") >= PAGES) & (F.col("importance") < least)).select("host", "node", "parent")
     low = written(low, "low", small=True)
     saving = nodes.join(low, ["host", "node"], "left_anti").select("host", F.col("parent").alias("node")).distinct()
     while True:
@@ -105,38 +116,56 @@ def low_branches(pages: DataFrame) -> DataFrame:
         saving = saved.select("host", F.col("parent").alias("node")).distinct()
 
 
-def main_text(page: str | None, low: frozenset = frozenset()) -> str:
-    """The article of a page; ``low`` are the nodes that its host's style tree removes."""
+def judged(page: str | None, low: frozenset = frozenset(), poor: frozenset = frozenset()) -> tuple[str, int, int]:
+    """The article of a page, the blocks that its host's style tree removes from it, and the further ones
+    that tags, roles and names remove. ``low`` and ``poor`` are the branches of :func:`low_branches`."""
     blocks, boxes = [], set()
     for x in read(page or ""):
         if isinstance(x, Block):
-            if not x.noise:
-                blocks.append(x)
+            blocks.append(x)
         elif x.tag in BOXES and x.key in low:
             boxes.add(x.key)
-    inside = [b for b in blocks if b.article]
-    chosen = inside or blocks
-    kept = [b for b in chosen if not (low.intersection(b.path) if not b.article else boxes.intersection(b.path))]
-    return " ".join(b.text for b in kept or chosen)
+    size: Counter = Counter()
+    for b in blocks:
+        for key in b.path:
+            size[key] += len(b.text)
+    half = sum(len(b.text) for b in blocks) / 2
+    slight = {key for key in poor if size.get(key, 0) < half}
+    by_tree = [bool(boxes.intersection(b.path) if b.article else low.intersection(b.path) or slight.intersection(b.path)) for b in blocks]
+    if all(x or b.noise for b, x in zip(blocks, by_tree, strict=True)):
+        by_tree = [False] * len(blocks)
+    left = [b for b, x in zip(blocks, by_tree, strict=True) if not x and not b.noise]
+    chosen = [b for b in left if b.article] or left
+    return " ".join(b.text for b in chosen), sum(by_tree), sum(b.noise and not x for b, x in zip(blocks, by_tree, strict=True))
+
+
+def main_text(page: str | None, low: frozenset = frozenset(), poor: frozenset = frozenset()) -> str:
+    return judged(page, low, poor)[0]
 
 
 def extracted(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """``page_id``, ``url``, ``text``, ``n_removed`` (nodes the host's tree removes), one row a page."""
+    """``page_id``, ``url``, ``text``, ``n_tree`` and ``n_names`` (blocks removed by the host's tree, and
+    by tags, roles and names only), one row a page."""
     kind = pages.schema[page_id].dataType.simpleString()
     base = pages.select(F.col(page_id).alias("page"), F.col(url).alias("url"), host(F.col(url)).alias("host"), F.col(html).alias("html"))
-    low = written(low_branches(base).groupBy("host").agg(F.collect_list("node").alias("low")), "low-branches", small=True)
-    few = low.agg(F.count("*"), F.coalesce(F.sum(F.size("low")), F.lit(0))).first()
-    rows = base.join(F.broadcast(low) if few[0] + few[1] <= BROADCAST_ROWS else low, "host", "left").select("page", "url", "html", "low")
+    of = lambda poor: F.collect_list(F.when(F.col("poor") == poor, F.col("node")))
+    low = written(low_branches(base).groupBy("host").agg(of(False).alias("low"), of(True).alias("poor")), "low-branches", small=True)
+    few = low.agg(F.count("*"), F.coalesce(F.sum(F.size("low") + F.size("poor")), F.lit(0))).first()
+    if few[0] + few[1] <= BROADCAST_ROWS:
+        rows = base.join(F.broadcast(low), "host", "left")
+    else:
+        salted = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = base.withColumn("salt", F.pmod(F.xxhash64("page", "html"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    rows = rows.select("page", "url", "html", "low", "poor")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 some = batch.slice(at, 200)
-                lows = [frozenset(x or ()) for x in some.column("low").to_pylist()]
-                texts = [main_text(p, x) for p, x in zip(some.column("html").to_pylist(), lows, strict=True)]
-                yield pa.record_batch([some.column("page"), some.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in lows], pa.int64())], names=["page", "url", "text", "n_removed"])
+                found = [judged(p, frozenset(x or ()), frozenset(y or ())) for p, x, y in zip(*(some.column(c).to_pylist() for c in ("html", "low", "poor")), strict=True)]
+                yield pa.record_batch([some.column("page"), some.column("url"), pa.array([f[0] for f in found], pa.string()), *[pa.array([f[i] for f in found], pa.int64()) for i in (1, 2)]], names=["page", "url", "text", "n_tree", "n_names"])
 
-    return rows.mapInArrow(extract, f"page {kind}, url string, text string, n_removed long").select(F.col("page").alias(page_id), F.col("url").alias(url), "text", "n_removed")
+    return rows.mapInArrow(extract, f"page {kind}, url string, text string, n_tree long, n_names long").select(F.col("page").alias(page_id), F.col("url").alias(url), "text", "n_tree", "n_names")
 
 
 def op1_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
