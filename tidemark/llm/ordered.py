@@ -34,14 +34,13 @@ def boundaries(docs: DataFrame, column: str, parts: int) -> list[int]:
 
 
 def part_of(value: Column, cuts: list[int]) -> Column:
-    """The number of cuts at or below a value: its part. Null goes first. Two levels, so that a
-    row costs the square root of the number of cuts."""
+    """The number of cuts at or below a value: its part. Null goes first. The cuts are one literal in
+    the plan, however many; two levels, so that a row costs the square root of their number."""
     if not cuts:
         return F.lit(0)
     width = math.isqrt(len(cuts)) + 1
-    rows = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    known = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
     below = lambda array: F.size(F.filter(array, lambda c: c <= value))
-    heads = below(F.array(*[F.lit(r[0]) for r in rows]))
-    table = F.array(*[F.array(*[F.lit(c) for c in r]) for r in rows])
-    inner = F.when(heads > 0, (heads - 1) * width + below(F.element_at(table, F.greatest(heads, F.lit(1)))))
+    heads = below(known(cuts[::width]))
+    inner = F.when(heads > 0, (heads - 1) * width + below(F.slice(known(cuts), (F.greatest(heads, F.lit(1)) - 1) * width + 1, F.lit(width))))
     return F.coalesce(inner, F.lit(0))

@@ -1,12 +1,13 @@
 """Removal of repeated strings: every byte that a string of ``LENGTH`` bytes covers which also
 starts elsewhere.
 
-The longest previous factor of a position comes from suffix order: of the suffixes that share a
-prefix with it, the previous and next smaller positions are its neighbours. Only factors of at
-least ``LENGTH`` bytes matter here, so suffixes are ordered by a 128-bit hash of their first
-``LENGTH`` bytes, and by position among equals: the neighbour before is then the previous smaller
-position and its factor reaches ``LENGTH`` exactly if the hashes are equal. ``keep="first"`` removes
-what has such an earlier match; ``keep="none"`` also what has a later one.
+The longest previous factor (LPF) of a position, the longest string that starts there and also starts
+earlier, comes from suffix order: it is shared with the previous or the next smaller position in that
+order (:func:`factors`). The longest next factor (LNF) is shared with the previous or next greater one.
+``keep="first"`` removes what an LPF of ``LENGTH`` bytes or more covers, and so keeps the first copy;
+``keep="none"`` also what such an LNF covers. Factors are told up to ``LENGTH`` bytes, as no longer one
+covers more than the factors of the positions behind it. Suffixes are thus ordered by their first
+``LENGTH`` bytes only, for which a 96-bit hash stands, and by position among equals.
 
 Ordering all suffixes of a corpus would move many times its size, so suffixes that cannot repeat
 leave first. Each window of LENGTH bytes has an anchor, the least hash of its ``GRAM``-byte grams;
@@ -15,11 +16,15 @@ anchors at equal places. Contexts that occur twice as a whole need no more than
 a window lies with LENGTH/2 bytes left or right of its anchor, so contexts that share neither half
 with another are unique; of the others, an eighth of the window places at a time is held against
 the bytes that all windows there have. What remains (the borders of repeated passages, and one representative of
-each repeated context they may match) is ordered window by window. A passage in a third of all
-documents is one context, counted before it is shuffled; no group is gathered.
-
-Defined results: null text is empty; matches never cross documents; repeated rows match each other;
-texts below LENGTH bytes lose nothing; a null id sorts first.
+each repeated context they may match) is ordered suffix by suffix. Whole contexts have their own
+order, by content and position, of which an aggregation keeps the first and the last position: a
+context has an LPF where it is not the first and an LNF where it is not the last. A passage in a third
+of all documents is one context, aggregated before it is shuffled. What is gathered in one row is of one
+text: its contexts, its found spans.
+
+Defined results: null text is empty; matches never cross documents; rows that agree in id and text
+match each other and, keeping the first, are one place; texts below LENGTH bytes lose nothing; a null id
+sorts first.
 """
 from __future__ import annotations
 
@@ -137,8 +142,9 @@ def _blocks(length: int):
     return blocks
 
 
-def _windows(length: int, ordered: bool):
-    """wanted (list of at, more, off, context, single, blocks), text -> one row a window of the blocks."""
+def _windows(length: int):
+    """wanted (list of at, more, off, context, single, blocks), text -> one row a suffix whose first
+    ``length`` bytes are a window of the blocks."""
     size = _block_size(length)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,20 +155,36 @@ def _windows(length: int, ordered: bool):
             wanted = np.repeat(get("blocks"), n) >> ((np.repeat(get("off"), n) - rel) // size) & 1 > 0
             rel, of = rel[wanted], np.repeat(np.arange(len(some)), n)[wanted]
             start = get("at")[of] + rel
-            columns = {
+            first = np.zeros(len(rel), dtype=np.int64)
+            yield pa.RecordBatch.from_pydict({
                 "h1": pa.array(hashes.of(start, start + length).view(np.int64)), "h2": pa.array((hashes.of(start, start + length, 1) >> K.U64(32)).astype(np.uint32).view(np.int32)),
                 "context": pa.array(get("context")[of]), "rel": pa.array(rel.astype(np.int16)), "single": pa.array(get("single")[of]),
-            }
-            if ordered:
-                columns |= {"order": batch.column("order").slice(i, 1).take(pa.array(np.zeros(len(rel), dtype=np.int64))), "start": pa.array(start)}
-            yield pa.RecordBatch.from_pydict(columns)
+                "order": batch.column("order").slice(i, 1).take(pa.array(first)), "start": pa.array(start),
+            })
 
     return windows
 
 
-def _matched(keep: str):
-    """Windows in suffix order -> those with an equal neighbour before them or, keeping none, also
-    those with one behind. The last row of a batch waits for its successor."""
+def factors(same: np.ndarray, position: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """LPF and LNF, up to ``length``, of suffixes in suffix order at different places ``position`` >= 0.
+    ``same[i]`` says that suffix i+1 begins with the ``length`` bytes of suffix i. Suffixes with equal
+    ones are a class, with all others a suffix shares less: its previous and next smaller (greater)
+    positions are sought within the class, and where there is none the factor is told as 0."""
+    if not len(position):
+        return (np.zeros(0, dtype=np.int64),) * 2
+    span = int(position.max()) + 1
+    of = np.concatenate([[0], np.cumsum(~same)])
+    rising, falling = of * span + position, (of[-1] - of) * span + position  # by class, then by position
+    least, most = np.minimum.accumulate, np.maximum.accumulate
+    smaller = (least(falling) < falling) | (least(rising[::-1])[::-1] < rising)  # before, or behind
+    greater = (most(rising) > rising) | (most(falling[::-1])[::-1] > falling)
+    return np.where(smaller, length, 0), np.where(greater, length, 0)
+
+
+def _matched(keep: str, length: int):
+    """Suffixes in suffix order -> context, place: those that a factor of ``length`` bytes starts at.
+    Equal ones stand by position, so that across the border of a batch the row before has the previous
+    smaller position and the row behind the next greater one; a batch's last row waits for that."""
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail, tail_before = None, False
@@ -172,17 +194,20 @@ def _matched(keep: str):
             line = pa.Table.from_batches([batch] if tail is None else [tail, batch]).combine_chunks().to_batches()[0]
             h1, h2 = line.column("h1").to_numpy(), line.column("h2").to_numpy()
             same = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
-            before = np.concatenate([[tail_before], same])
-            yield _hit(line.slice(0, line.num_rows - 1), before[:-1], same, keep)
-            tail, tail_before = line.slice(line.num_rows - 1), bool(before[-1])
+            lpf, lnf = factors(same, np.arange(line.num_rows), length)
+            lpf[0] = max(int(lpf[0]), length * tail_before)
+            yield _hit(line.slice(0, line.num_rows - 1), lpf[:-1], lnf[:-1], keep, length)
+            tail, tail_before = line.slice(line.num_rows - 1), bool(lpf[-1])
         if tail is not None:
-            yield _hit(tail, np.array([tail_before]), np.array([False]), keep)
+            yield _hit(tail, np.array([length * tail_before]), np.array([0]), keep, length)
 
     return matched
 
 
-def _hit(rows: pa.RecordBatch, before: np.ndarray, behind: np.ndarray, keep: str) -> pa.RecordBatch:
-    hit = before if keep == "first" else (before | behind) & rows.column("single").to_numpy(zero_copy_only=False)
+def _hit(rows: pa.RecordBatch, lpf: np.ndarray, lnf: np.ndarray, keep: str, length: int) -> pa.RecordBatch:
+    hit = lpf >= length
+    if keep == "none":  # of contexts that repeat as a whole nothing more is to be told
+        hit = (hit | (lnf >= length)) & rows.column("single").to_numpy(zero_copy_only=False)
     return pa.record_batch([rows.column("context"), rows.column("rel")], names=["context", "rel"]).filter(pa.array(hit))
 
 
@@ -209,14 +234,20 @@ def _needed(distinct: DataFrame, keep: str) -> DataFrame:
 
 
 def _marked(anchors: DataFrame, keep: str) -> DataFrame:
-    """The places of contexts that occur again as a whole (``again``) or must be looked at (``needed``)."""
-    distinct = written(anchors.groupBy("f1", "f2").agg(F.count("*").alias("n"), F.first("r").alias("r"), F.first("l").alias("l")), "contexts", small=True)
-    release(anchors.sparkSession)
-    again = distinct.filter("n > 1").select("f1", "f2", F.lit(True).alias("again"))
-    flags = written(again.join(_needed(distinct, keep).withColumn("needed", F.lit(True)), ["f1", "f2"], "full_outer"), "flags", small=True)
-    release(anchors.sparkSession, distinct)
-    marked = written(anchors.drop("r", "l").join(flags, ["f1", "f2"]), "marked", small=True)
-    release(anchors.sparkSession, flags, anchors)
+    """The places of contexts that must be looked at suffix by suffix (``needed``), or that a factor
+    covers as a whole (``again``): an earlier one, which all places but the first have, or, keeping
+    none, a later one, which all but the last have."""
+    spark = anchors.sparkSession
+    place = F.struct("doc", "hash", "at")
+    distinct = written(anchors.groupBy("f1", "f2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("r").alias("r"), F.first("l").alias("l")), "contexts")
+    release(spark)
+    twice = distinct.filter("n > 1").select("f1", "f2", "first")
+    flags = written(twice.join(_needed(distinct, keep).withColumn("needed", F.lit(True)), ["f1", "f2"], "full_outer"), "flags")
+    release(spark, distinct)
+    here = anchors.drop("r", "l").join(flags, ["f1", "f2"])
+    again = F.col("first").isNotNull() if keep == "none" else F.coalesce(place > F.col("first"), F.lit(False))
+    marked = written(here.withColumn("again", again).drop("first").filter(F.col("again") | F.col("needed")), "marked")
+    release(spark, flags, anchors)
     return marked
 
 
@@ -231,18 +262,17 @@ def _matches(base: DataFrame, wanted: DataFrame, keep: str, length: int, kind: s
     """``context``, ``rels``: the windows of each context that repeat."""
     spark = base.sparkSession
     texts = _texts_of(base, wanted, ["at", "more", "off", "context", "single", "right", "left"])
-    keys = written(texts.select("wanted", "text").mapInArrow(_blocks(length), "key long, block int, context long, single boolean"), "blocks", small=True)
+    keys = written(texts.select("wanted", "text").mapInArrow(_blocks(length), "key long, block int, context long, single boolean"), "blocks")
     shared = keys.groupBy("key").agg(F.count("*").alias("c"), F.max("single").alias("any")).filter(F.col("c") > 1)
     shared = written((shared.filter("any") if keep == "none" else shared).select("key"), "shared-blocks", small=True)
     kept = keys.join(_hint(shared), "key", "left_semi").groupBy("context").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("block"))).alias("blocks"))
     texts = _texts_of(base, written(wanted.join(kept, "context"), "narrowed", small=True), ["at", "more", "off", "context", "single", "blocks"])
-    ordered = keep == "first"
-    if ordered:
+    if keep == "first":  # a row that repeats another is no earlier place
         texts = texts.dropDuplicates(["order", "hash"])
-    rows = texts.select("wanted", "text", "order").mapInArrow(_windows(length, ordered), "h1 long, h2 int, context long, rel short, single boolean" + (f", order {kind}, start long" if ordered else ""))
-    place = [F.col("order").asc_nulls_first(), "start"] if ordered else []
-    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "h1").sortWithinPartitions("h1", "h2", *place)
-    hits = rows.mapInArrow(_matched(keep), "context long, rel short")
+    rows = texts.select("wanted", "text", "order").mapInArrow(_windows(length), f"h1 long, h2 int, context long, rel short, single boolean, order {kind}, start long")
+    order = ["h1", "h2", F.col("order").asc_nulls_first(), "start"]
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "h1").sortWithinPartitions(*order)
+    hits = rows.mapInArrow(_matched(keep, length), "context long, rel short")
     return written(hits.groupBy("context").agg(F.collect_list("rel").alias("rels")), "hits", small=True)  # at most LENGTH of a context
 
 
@@ -262,12 +292,9 @@ def repeated(docs: DataFrame, keep: str = "none", length: int = LENGTH, *, doc_i
     release(spark)
     part = wanted.join(hits, "context").select("doc", "hash", F.explode(F.transform("rels", lambda r: F.struct((F.col("at") + r).alias("s"), (F.col("at") + r + length).alias("e")))).alias("x")).select("doc", "hash", "x.s", "x.e")
     whole = marked.filter("again")
-    if keep == "first":
-        first = whole.groupBy("f1", "f2").agg(F.min(F.struct("doc", "hash", "at")).alias("of"))
-        whole = whole.join(first, ["f1", "f2"]).filter(~F.struct("doc", "hash", "at").eqNullSafe(F.col("of")))
     whole = whole.select("doc", "hash", F.col("at").alias("s"), (F.col("at") + F.col("more") + length).alias("e"))
     found = whole.unionByName(part).groupBy("doc", "hash").agg(F.collect_list(F.struct("s", "e")).alias("found"))
-    found = written(found.mapInArrow(_merge, f"doc {kind}, hash long, found array<struct<s:long,e:long>>"), "found", small=True)
+    found = written(found.mapInArrow(_merge, f"doc {kind}, hash long, found array<struct<s:long,e:long>>"), "found")
     release(spark, marked, wanted, hits)
     return found
 

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset and driver and
+    executors are one process (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -19,21 +23,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one, as a full URI: the same place for Spark and for others."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}")
     uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return f"file://{uri[5:]}" if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application has written into the shared folder, results that were not
+    copied elsewhere included."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def narrow_parts(spark: SparkSession) -> int:
+    """Partitions for tables that are a small part of the data: half of the shuffle partitions, so that
+    they grow with the data as those do, and as many as there are cores at least."""
+    return max(2, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+
+
 def few_files(df: DataFrame) -> DataFrame:
-    """At most one partition for each core of the cluster, joined without a shuffle: for narrow
-    tables that many partitions hold little of, so that their files do not outnumber the tasks
-    that can run at once."""
-    return df.coalesce(max(2, df.sparkSession.sparkContext.defaultParallelism))
+    """:func:`narrow_parts` partitions at most, joined without a shuffle: for narrow tables made by
+    little work behind an exchange, so that their files do not outnumber what they hold."""
+    return df.coalesce(narrow_parts(df.sparkSession))
 
 
 def written(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back: lineage ends there,
-    so a lost executor costs a reread and not a recomputation. ``small``: as few files."""
+    so a lost executor costs a reread and not a recomputation. ``small``: in :func:`few_files`."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     (few_files(df) if small else df).write.parquet(path)
