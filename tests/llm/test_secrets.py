@@ -65,3 +65,45 @@ def test_query(spark):
 
 def test_empty_table(spark):
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_texts_of_very_many_matches(spark):
+    """20,000 matches in one text, in time that grows with their number."""
+    import time
+
+    parts = [f"{i:016x}" for i in range(20_000)]
+    docs = spark.createDataFrame([(1, " ".join(parts)), (2, "x")], "doc_id long, text string")
+    began = time.time()
+    rows = {r["doc_id"]: r["base"] for r in secrets.scan(docs).collect()}
+    took = time.time() - began
+    assert [(x["s"], x["e"]) for x in rows[1]] == [(17 * i, 17 * i + 16) for i in range(20_000)] and rows[2] == []
+    assert took < 20  # a first run, with its compilation
+    began = time.time()
+    secrets.scan(docs.filter("doc_id = 1")).selectExpr("size(base)").collect()
+    print(f"20,000 matches: {time.time() - began:.1f} s")
+    assert time.time() - began < 3
+
+
+def test_long_runs(spark):
+    """Runs of many pieces, with hot and cold stretches, against a count of each window."""
+    import random
+
+    rnd = random.Random(5)
+    hot = lambda n: "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    texts = [hot(9000), "".join(hot(rnd.randint(25, 60)) + "ab" * rnd.randint(5, 40) for _ in range(120)), hot(secrets.PIECE - 5) + "ab" * 10 + hot(50), hot(secrets.PIECE + 19), hot(secrets.PIECE + 20), "x" * 3]
+    docs = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, _body string")
+    got = {r["doc_id"]: r for r in secrets.scan(docs).collect()}
+    for i, t in enumerate(texts):
+        for rank, c in enumerate(secrets.CLASSES, 3):
+            want = set()
+            for run in re.finditer(c.pattern, t):
+                if any(re.search(p, run[0]) for p in secrets.ALLOW):
+                    continue
+                for a in range(run.start(), run.end() - c.window + 1):
+                    part = t[a : a + c.window]
+                    total = sum(round(n * math.log2(n) * secrets.SCALE) for n in (part.count(x) for x in set(part)))
+                    if total <= math.floor((math.log2(c.window) - c.bits) * c.window * secrets.SCALE):
+                        want.update(range(a, a + c.window))
+            spans = [(x["s"], x["e"]) for x in got[i]["entropy"] if x["k"] == rank]
+            assert {p for a, b in spans for p in range(a, b)} == want and all(b < c_ for (_, b), (c_, _) in zip(spans, spans[1:]))
+        assert got[i]["_body"] == "c"

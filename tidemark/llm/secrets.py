@@ -7,7 +7,9 @@ of ``c*log2(c)`` follows from those two counts alone (in integers, so every orde
 Windows at or above the class's entropy merge into spans; runs that match the allow-list add none.
 
 Defined results: null text is empty; offsets are code points, ends exclusive; no span gives an
-empty string and the digest of one; repeated rows stay repeated.
+empty string and the digest of one; repeated rows stay repeated; columns of any name, but for ``base``
+and ``entropy``, which are replaced. Time grows with a text's length, and with the square root of its
+matches for each match.
 """
 from __future__ import annotations
 
@@ -26,6 +28,8 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"  # the runs of [0-9a-f]+ with 16 characters or more
 SCALE = 1 << 20
+#: Window places of a run that are slid over at a time.
+PIECE = 2048
 
 
 @dataclass(frozen=True)
@@ -48,25 +52,57 @@ CLASSES = (
 ALLOW = (r"(?i)example|placeholder|changeme|your[_-]?(?:api|key|token|secret)", r"(.)\1{7,}", r"(?i)0123456789|abcdefghijkl", r"^[0-9]+$", r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
 
 
-def located(text: Column, pattern: str, matches: Column, keep) -> Column:
-    """Array of struct(s, e, m) for the matches that ``keep`` accepts; ``matches`` is the column of
-    all matches of ``pattern`` in ``text``."""
-    gaps = F.when(F.size(matches) > 0, F.regexp_extract_all(text, F.lit(r"\G([\s\S]*?)(?:" + pattern + ")"), 1)).otherwise(F.array().cast("array<string>"))
-    pairs = F.zip_with(gaps, matches, lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
+def _lengths(gaps: Column, matches: Column) -> Column:
+    return F.zip_with(gaps, matches, lambda g, m: F.length(g) + F.length(m))
 
-    def add(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["g"]
-        e = s + F.length(x["m"])
-        one = F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"))
-        return F.struct(e.alias("at"), F.when(keep(x["m"]), F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(pairs, start, add, lambda acc: acc["out"])
+def _before(blocks: Column, totals: Column) -> Column:
+    """The sum before each number of ``blocks``: that of the blocks before (``totals`` are their sums)
+    and that of the numbers before in its block. A fold that collected sums would copy them at each step;
+    with blocks of the square root of n numbers this adds up n times that root."""
+    plus = lambda a, x: a + x
+    upto = F.transform(totals, lambda t, j: F.aggregate(F.slice(totals, F.lit(1), j), F.lit(0), plus))
+    return F.flatten(F.zip_with(blocks, upto, lambda b, o: F.transform(b, lambda x, k: o + F.aggregate(F.slice(b, F.lit(1), k), F.lit(0), plus))))
+
+
+def located(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
+    """``df`` with a column for each pattern: an array of struct(s, e, m) of its matches in ``text``.
+    Steps are columns of their own, so that each is computed once."""
+    cols = df.columns
+    gap = lambda p: F.regexp_extract_all(F.col(text), F.lit(r"\G([\s\S]*?)(?:" + p + ")"), 1)
+    step = df.select(*cols, *[F.regexp_extract_all(F.col(text), F.lit(p), 0).alias(f"{c}_m") for c, p in patterns.items()])
+    step = step.select("*", *[F.when(F.size(f"{c}_m") > 0, gap(p)).otherwise(F.array().cast("array<string>")).alias(f"{c}_g") for c, p in patterns.items()])
+    step = step.select("*", *[_lengths(F.col(f"{c}_g"), F.col(f"{c}_m")).alias(f"{c}_n") for c in patterns])
+    width = lambda c: F.greatest(F.ceil(F.sqrt(F.size(f"{c}_n"))), F.lit(1)).cast("int")
+    block = lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(f"{c}_n") / width(c)).cast("int") - 1, F.lit(0))), lambda j: F.slice(f"{c}_n", j * width(c) + 1, width(c)))
+    step = step.select("*", *[block(c).alias(f"{c}_b") for c in patterns])
+    step = step.select("*", *[F.transform(f"{c}_b", lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x)).alias(f"{c}_t") for c in patterns])
+    step = step.select("*", *[_before(F.col(f"{c}_b"), F.col(f"{c}_t")).alias(f"{c}_p") for c in patterns])
+    start = lambda c: F.zip_with(f"{c}_p", f"{c}_g", lambda p, g: p + F.length(g))
+    return step.select(*cols, *[F.zip_with(start(c), f"{c}_m", lambda s, m: F.struct(s.alias("s"), (s + F.length(m)).alias("e"), m.alias("m"))).alias(c) for c in patterns])
 
 
 def hot_spans(run: Column, cls: CharClass) -> Column:
     """Array of struct(s, e): merged windows of ``run`` (a string of the class's characters only)
-    whose entropy reaches the class's bits."""
+    whose entropy reaches the class's bits. The windows of ``PIECE`` places at a time are slid over by
+    themselves; spans that touch across pieces become one."""
+    pieces = F.sequence(F.lit(0), F.greatest(F.ceil((F.length(run) - (cls.window - 1)) / PIECE).cast("int") - 1, F.lit(0)))
+
+    def piece(i: Column) -> Column:
+        found = _slid(F.substring(run, i * PIECE + 1, F.lit(PIECE + cls.window - 1)), cls)
+        return F.transform(found, lambda x: F.struct((x["s"] + i * PIECE).alias("s"), (x["e"] + i * PIECE).alias("e")))
+
+    def joined(a: Column) -> Column:  # spans rise in begins and ends
+        first = F.filter(a, lambda x, i: F.coalesce(F.get(a, i - 1)["e"] < x["s"], F.lit(True)))
+        last = F.filter(a, lambda x, i: F.coalesce(F.get(a, i + 1)["s"] > x["e"], F.lit(True)))
+        return F.zip_with(first, last, lambda x, y: F.struct(x["s"].alias("s"), y["e"].alias("e")))
+
+    # as the one element of an array, what was found is computed once and then looked at from all places
+    return F.flatten(F.transform(F.array(F.flatten(F.transform(pieces, piece))), joined))
+
+
+def _slid(run: Column, cls: CharClass) -> Column:
+    """The same of one piece, by a fold; its state is copied at each step and so must stay short."""
     w = cls.window
     weight = F.array(*[F.lit(round(c * math.log2(c) * SCALE) if c else 0) for c in range(w + 1)])
     most = math.floor((math.log2(w) - cls.bits) * w * SCALE)
@@ -93,31 +129,21 @@ def hot_spans(run: Column, cls: CharClass) -> Column:
 def scan(docs: DataFrame, *, text: str = "text", classes: Sequence[CharClass] = CLASSES, allow: Sequence[str] = ALLOW) -> DataFrame:
     """``docs`` with ``base`` and ``entropy``: arrays of struct(s, kind rank k, e, kind)."""
     cols = [c for c in docs.columns if c not in ("base", "entropy")]
-    body = F.coalesce(F.col(text), F.lit(""))
-    df = docs.select(
-        *cols,
-        body.alias("_body"),
-        F.regexp_extract_all(body, F.lit(ASSIGN), 0).alias("_assign"),
-        F.regexp_extract_all(body, F.lit(ACCESS), 0).alias("_access"),
-        F.regexp_extract_all(body, F.lit(HEX), 0).alias("_hex"),
-        *[F.regexp_extract_all(body, F.lit(c.pattern), 0).alias(f"_run{i}") for i, c in enumerate(classes)],
-    )
-    found = [
-        ("assign", located(F.col("_body"), ASSIGN, F.col("_assign"), lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 12)),
-        ("access", located(F.col("_body"), ACCESS, F.col("_access"), lambda m: F.length(m) >= 18)),
-        ("hex", located(F.col("_body"), HEX, F.col("_hex"), lambda m: F.lit(True))),
-    ]
+    inner = [f"c{i}" for i in range(len(cols))]  # columns go by place inside, so that none clashes
+    df = docs.select(*[F.col(c).alias(i) for c, i in zip(cols, inner, strict=True)], F.coalesce(F.col(text), F.lit("")).alias("_body"))
+    kinds = {"assign": ASSIGN, "access": ACCESS, "hex": HEX}
+    df = located(df, "_body", {f"_{k}": p for k, p in kinds.items()} | {f"_run{i}": c.pattern for i, c in enumerate(classes)})
+    keep = {"assign": lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= 12, "access": lambda x: F.length(x["m"]) >= 18}
     tag = lambda xs, rank, kind: F.transform(xs, lambda x: F.struct(x["s"].alias("s"), F.lit(rank).alias("k"), x["e"].alias("e"), F.lit(kind).alias("kind")))
-    base = F.array_sort(F.concat(*[tag(xs, rank, kind) for rank, (kind, xs) in enumerate(found)]))
-    df = df.withColumn("base", base)
+    base = [tag(F.filter(f"_{k}", keep[k]) if k in keep else F.col(f"_{k}"), rank, k) for rank, k in enumerate(kinds)]
     parts = []
     for i, c in enumerate(classes):
-        allowed = lambda m: ~_any(m, allow)
-        runs = located(F.col("_body"), c.pattern, F.col(f"_run{i}"), allowed)
-        spans = F.flatten(F.transform(runs, _shifted(c)))
-        parts.append(tag(spans, len(found) + i, c.kind))
-    df = df.withColumn("entropy", F.when(F.size("_run" + str(len(classes) - 1)) + F.size("_run0") > 0, F.array_sort(F.concat(*parts))).otherwise(F.array().cast("array<struct<s:int,k:int,e:int,kind:string>>")))
-    return df.select(*cols, "base", "entropy")
+        runs = F.filter(f"_run{i}", lambda x: ~_any(x["m"], allow))
+        parts.append(tag(F.flatten(F.transform(runs, _shifted(c))), len(kinds) + i, c.kind))
+    spans = "array<struct<s:int,k:int,e:int,kind:string>>"
+    some = sum((F.size(f"_run{i}") for i in range(len(classes))), F.lit(0)) > 0
+    entropy = F.when(some, F.array_sort(F.concat(*parts)) if parts else F.array().cast(spans)).otherwise(F.array().cast(spans))
+    return df.select(*[F.col(i).alias(c) for c, i in zip(cols, inner, strict=True)], F.array_sort(F.concat(*base)).alias("base"), entropy.alias("entropy"))
 
 
 def _shifted(cls: CharClass):
