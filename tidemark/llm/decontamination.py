@@ -5,9 +5,9 @@ the smallest hash is kept, on both sides. Two texts that share ``WINDOW`` words
 smallest hash, so joining the kept hashes misses no shared span. Each hit is compared word by word
 and extended both ways by up to ``WINDOW - K`` words; where the common run reaches ``WINDOW``
 words, its document words are hit. Items of fewer words than ``WINDOW`` are one window each: their
-whole hash is looked up at every document position.
+whole hash is looked up at every document position, in the same pass.
 
-The document side is read once and never shuffled with its text: kept hashes are looked up in a
+The document side is read once and never shuffled with its text: hashes are looked up in a
 broadcast table while that table has at most ``BROADCAST_ROWS`` rows, and in a shuffled join that
 carries 15 words a row beyond it. Only hits (and one row a document) are grouped.
 
@@ -16,6 +16,8 @@ in ``documents`` stay repeated; items with one text are all named; an empty benc
 """
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,17 +57,24 @@ def window_minima(df: DataFrame, column: str, w: int, to: str) -> DataFrame:
     return df.withColumn(to, F.slice(F.col(to), F.lit(1), F.greatest(F.size(column) - (w - 1), F.lit(0)))).drop(*[n for s, n in names.items() if s > 1])
 
 
-def winnowed(df: DataFrame, keep: list[str], k: int, window: int, sentinel: bool = False) -> DataFrame:
-    """One row (``_at``, ``_hash``) for each run that is smallest in a full window; ``df`` has the
-    words in ``_words``. With ``sentinel`` each input row also gives one with ``_at`` -1."""
+def winnowed(df: DataFrame, keep: list[str], k: int, window: int, short: Sequence[int] = (), sentinel: bool = False) -> DataFrame:
+    """One row (``_at``, ``_hash``, ``_len`` 0) for each run that is smallest in a full window, and for
+    each run of ``_len`` words, of the lengths in ``short``; ``df`` has the words in ``_words``. With
+    ``sentinel`` each input row also gives one with ``_at`` -1."""
     w = window - k + 1
     df = df.withColumn("_wh", F.transform("_words", lambda x: F.xxhash64(x))).withColumn("_runs", runs("_wh", k))
     df = window_minima(df, "_runs", w, "_least")
     first = F.array(F.lit(None).cast("long")) if sentinel else F.slice(F.col("_runs"), F.lit(1), F.lit(0))
-    rows = df.select(*keep, "_words", "_least", F.posexplode(F.concat(first, F.col("_runs"))).alias("_at", "_hash"))
-    rows = rows.withColumn("_at", F.col("_at") - int(sentinel))
+    more = [F.transform(runs("_wh", n), lambda h, n=n: F.xxhash64(h, F.lit(n))) for n in short]
+    rows = df.select(*keep, "_words", "_least", F.posexplode(F.concat(first, F.col("_runs"), *more)).alias("_at", "_hash"))
+    # the runs of each length stand behind those of the lengths before
+    begin, at, length = F.greatest(F.size("_words") - (k - 1), F.lit(0)) + int(sentinel), F.col("_at") - int(sentinel), F.lit(0)
+    for n in short:
+        at, length = F.when(F.col("_at") >= begin, F.col("_at") - begin).otherwise(at), F.when(F.col("_at") >= begin, n).otherwise(length)
+        begin = begin + F.greatest(F.size("_words") - (n - 1), F.lit(0))
+    rows = rows.select(*keep, "_words", "_least", "_hash", at.alias("_at"), length.alias("_len"))
     smallest = F.greatest(*[F.get(F.col("_least"), F.col("_at") - j) for j in range(w)])
-    return rows.filter((F.col("_at") == -1) | (F.col("_hash") == smallest)).drop("_least")
+    return rows.filter((F.col("_at") == -1) | (F.col("_len") > 0) | (F.col("_hash") == smallest)).drop("_least")
 
 
 def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
@@ -98,26 +107,24 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text:
 
     prints = winnowed(items.filter(F.size("_iwords") >= window).withColumnRenamed("_iwords", "_words"), ["_ids"], k, window)
     prints = prints.select("_hash", "_ids", _around("_words", F.col("_at"), reach, k).alias("_iwords"), F.least(F.col("_at"), F.lit(reach)).alias("_iat"))
-    rows = winnowed(base, key, k, window, sentinel=True)
-    context = rows.withColumn("_near", _around("_words", F.col("_at"), reach, k)).drop("_words")
+    for n in short:
+        whole = items.filter(F.size("_iwords") == n).withColumn("_wh", F.transform("_iwords", lambda x: F.xxhash64(x)))
+        prints = prints.unionByName(whole.select(F.xxhash64(F.element_at(runs("_wh", n), 1), F.lit(n)).alias("_hash"), "_ids", "_iwords", F.lit(0).alias("_iat")))
+    rows = winnowed(base, key, k, window, short, sentinel=True)
+    near = F.when(F.col("_len") > 0, F.slice("_words", F.greatest(F.col("_at"), F.lit(0)) + 1, F.greatest(F.col("_len"), F.lit(1)))).otherwise(_around("_words", F.col("_at"), reach, k))
+    context = rows.withColumn("_near", near).drop("_words")
     # The sentinel has no hash, finds nothing and stands for its document.
     found = context.join(hint(prints), "_hash", "left").filter(F.col("_ids").isNotNull() | (F.col("_at") == -1))
     near_at = F.greatest(F.least(F.col("_at"), F.lit(reach)), F.lit(0))
     same = lambda j: F.get("_near", near_at + j) == F.get("_iwords", F.col("_iat") + j)
     step = lambda sign, base_: F.aggregate(F.sequence(F.lit(1), F.lit(reach)), F.lit(0), lambda n, j: F.when((n == j - 1) & F.coalesce(same(j * sign + base_), F.lit(False)), j).otherwise(n))
     equal = F.slice(F.col("_near"), near_at + 1, F.lit(k)) == F.slice(F.col("_iwords"), F.col("_iat") + 1, F.lit(k))
-    found = found.withColumn("_left", F.when(F.col("_at") >= 0, step(-1, 0))).withColumn("_right", F.when(F.col("_at") >= 0, step(1, k - 1)))
-    span = F.struct((F.col("_at") - F.col("_left")).alias("s"), (F.col("_at") + k + F.col("_right")).alias("e"))
-    hit = F.coalesce(equal & (F.col("_left") + F.col("_right") + k >= window), F.lit(False))
-    parts = [found.select(*key, (F.col("_at") == -1).cast("int").alias("_row"), F.when(hit, span).alias("_span"), F.when(hit, F.col("_ids")).alias("_ids"))]
-    for n in short:
-        lookup = items.filter(F.size("_iwords") == n).withColumn("_wh", F.transform("_iwords", lambda x: F.xxhash64(x))).select(F.element_at(runs("_wh", n), 1).alias("_hash"), "_iwords", "_ids")
-        at = base.withColumn("_wh", F.transform("_words", lambda x: F.xxhash64(x))).withColumn("_runs", runs("_wh", n)).select(*key, "_words", F.posexplode("_runs").alias("_at", "_hash"))
-        at = at.withColumn("_near", F.slice("_words", F.col("_at") + 1, F.lit(n))).drop("_words").join(hint(lookup), "_hash").filter(F.col("_near") == F.col("_iwords"))
-        parts.append(at.select(*key, F.lit(0).alias("_row"), F.struct(F.col("_at").alias("s"), (F.col("_at") + n).alias("e")).alias("_span"), "_ids"))
-    everything = parts[0]
-    for part in parts[1:]:
-        everything = everything.unionByName(part)
+    run = (F.col("_at") >= 0) & (F.col("_len") == 0)
+    found = found.withColumn("_left", F.when(run, step(-1, 0))).withColumn("_right", F.when(run, step(1, k - 1)))
+    whole = F.struct(F.col("_at").alias("s"), (F.col("_at") + F.col("_len")).alias("e"))
+    span = F.when(F.col("_len") > 0, whole).otherwise(F.struct((F.col("_at") - F.col("_left")).alias("s"), (F.col("_at") + k + F.col("_right")).alias("e")))
+    hit = F.coalesce(F.when(F.col("_len") > 0, F.col("_near") == F.col("_iwords")).otherwise(equal & (F.col("_left") + F.col("_right") + k >= window)), F.lit(False))
+    everything = found.select(*key, (F.col("_at") == -1).cast("int").alias("_row"), F.when(hit, span).alias("_span"), F.when(hit, F.col("_ids")).alias("_ids"))
     grouped = everything.groupBy(*key).agg(F.sum("_row").alias("_copies"), F.array_sort(F.collect_set("_span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("_ids")))).alias("items"))
     grouped = grouped.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
     return grouped.select(F.col("_doc").alias(doc_id), *[F.col("_kept")[c].alias(c) for c in keep], F.col("_n").cast("long").alias("n_words"), "spans", "items")
