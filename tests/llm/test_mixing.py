@@ -111,3 +111,52 @@ def test_query(spark):
     docs = {r["doc_id"]: r for r in table(spark, sf, "documents").collect()}
     rows = [{**r.asDict(), "source": docs[r["doc_id"]]["source"]} for r in mixing.op7_mixing(spark, sf).collect()]
     check([(d["doc_id"], d["text"], d["source"]) for d in docs.values()], rows)
+
+
+def test_mixed_rows(spark, monkeypatch):
+    """Takings with their texts: in the order of :func:`takings`, the same whether they are broadcast or
+    not; rows that agree in all columns have the takings of all."""
+    rnd = random.Random(3)
+    rows = [(i, " ".join(f"w{rnd.randint(0, 99)}" for _ in range(rnd.choice([0, 1, 7, 30]))), rnd.choice(["a", "b", "c", None]), i) for i in range(60)]
+    rows += [(70, "same row twice", "a", 1)] * 3 + [(None, None, "b", 2), (5, "id twice", "c", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
+    want = sorted((r["doc_id"], r["words_taken"]) for r in mixing.takings(mixing.plan(docs)).collect())
+    seen = []
+    for most in (mixing.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(mixing, "BROADCAST_ROWS", most)
+        out = mixing.mixed(docs)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert sorted((r["doc_id"], len(WORD.findall(r["text"]))) for r in got) == want
+        assert all(r["text"] in {t for d, t, *_ in rows if d == r["doc_id"]} or any((t or "").startswith(r["text"]) for d, t, *_ in rows if d == r["doc_id"]) for r in got)
+        seen.append([tuple(r) for r in got])
+    assert seen[0] == seen[1]
+    rank = {"a": 0, "b": 1, "c": 2, None: 0}
+    place = [(i / len(seen[0]), rank[r[2]]) for i, r in enumerate(seen[0])]
+    mean = lambda k: sum(p for p, x in place if x == k) / sum(x == k for _, x in place)
+    assert mean(0) < mean(2)
+    assert mixing.mixed(docs.limit(0)).count() == 0
+
+
+def test_first_positions(spark):
+    """Against a walk over each source's takings with the integrated schedules inverted by bisection."""
+    sf = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r for r in table(spark, sf, "documents").collect()}
+    rows = mixing.op7_mixing(spark, sf).collect()
+    names = sorted({d["source"] for d in docs.values()})
+    for s in names:
+        of = sorted((r for r in rows if docs[r["doc_id"]]["source"] == s and r["taken"]), key=lambda r: __import__("hashlib").md5(str(r["doc_id"]).encode()).hexdigest())
+        demand, begin = int(of[0]["target"] + 0.5), 0
+        every = sorted((d for d in docs.values() if d["source"] == s), key=lambda d: __import__("hashlib").md5(str(d["doc_id"]).encode()).hexdigest())
+        begins = {}
+        for d in every:
+            begins[d["doc_id"]] = begin
+            begin += len(WORD.findall(d["text"] or ""))
+        (t0, w0), (t1, w1) = mixing.SCHEDULES[names.index(s) % 3]
+        for r in of:
+            low, high = 0.0, 1.0
+            for _ in range(60):
+                mid = (low + high) / 2
+                low, high = (mid, high) if w0 * mid + (w1 - w0) * mid * mid / 2 < begins[r["doc_id"]] / demand else (low, mid)
+            assert r["first_position"] == pytest.approx(high, abs=1e-7)
+    assert all(r["first_position"] is None for r in rows if not r["taken"])
