@@ -13,8 +13,9 @@ alone, so a task that runs again after a lost executor replaces it with the same
 in the shared folder; ``pyarrow.fs`` opens it by its URI. The driver holds one row a shard
 (at most ``ordered.MOST_PARTS``).
 
-Defined results: null text is empty; every document ends with ``end_id``; a null id comes first;
-repeated rows are encoded each; an empty table makes no shard.
+Defined results: null text is empty; every document ends with ``end_id``; ids are integers, and one that
+does not read as such fails the job; a null id comes first; repeated rows are encoded each; an empty table
+makes no shard.
 """
 from __future__ import annotations
 
@@ -261,15 +262,18 @@ def encode(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str
 
 
 def encode_in_file_order(docs: DataFrame, tokenizer: str, **options) -> tuple[str, list[dict]]:
-    """Encodes a table read from Parquet in the order of its files' names and the rows within them:
-    each file becomes a shard. By id where it was not read from files."""
-    names = sorted(f.rsplit("/", 1)[1] for f in docs.inputFiles())
-    if not names or len(set(names)) < len(names) or len(names) > MOST_PARTS:
+    """Encodes a table read from files in the order of their paths and of the rows within them. Each file
+    becomes a shard, or, of more than ``MOST_PARTS`` files, consecutive ones do. An error for rows that
+    have no files, as their order is not known."""
+    if not docs.inputFiles():
+        if not docs.isEmpty():
+            raise ValueError("rows that were not read from files have no file order")
         return encode(docs, tokenizer, **options)
-    number = docs.sparkSession.createDataFrame(list(enumerate(names)), "_part int, _file string")
-    rows = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    rows = rows.join(F.broadcast(number), "_file")  # at most MOST_PARTS rows
-    return encode(rows, tokenizer, part=F.col("_part"), parts=len(names), order=(F.col("_row"),), **options)
+    paths = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())  # a row a file
+    number = docs.sparkSession.createDataFrame([(i, i * min(MOST_PARTS, len(paths)) // len(paths), p) for i, p in enumerate(paths)], "_file int, _part int, _path string")
+    rows = docs.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row"))
+    rows = rows.join(F.broadcast(number), "_path")
+    return encode(rows, tokenizer, part=F.col("_part"), parts=min(MOST_PARTS, max(1, len(paths))), order=(F.col("_file"), F.col("_row")), **options)
 
 
 def digest(spark: SparkSession, folder: str, shards: list[dict]) -> DataFrame:
