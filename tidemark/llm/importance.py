@@ -19,7 +19,8 @@ within each task before they meet; the driver holds one model of fixed size and
 
 Defined results: texts without n-grams have importance 0; null ids and repeated rows are kept or
 left like others (equal rows together); no labels, or an empty table, keep everything;
-no toxic or no held-out good label, no document is toxic.
+no toxic or no held-out good label, no document is toxic. :func:`scored` adds columns whose names begin with
+an underscore; :func:`resample` takes columns of any name.
 """
 from __future__ import annotations
 
@@ -118,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     marked = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(known), "_id", "left")
     rows = marked.select("_text", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("_good", "_toxic")]).mapInArrow(_counts, "bucket long, raw long, target long, good long, toxic long")
     names = ("raw", "target", "good", "toxic")
-    found = written(rows.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names]), "ngram-model", small=True).toArrow()  # at most 2**BITS rows and one
+    found = written(rows.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names]), "ngram-model").toArrow()  # at most 2**BITS rows and one
     at = found.column("bucket").to_numpy()
     counts = np.zeros((4, (1 << BITS) + 1))
     for i, c in enumerate(names):
@@ -223,12 +224,15 @@ def _marked(docs: DataFrame, labels: DataFrame, k: int | None, *, doc_id: str, t
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` kept by Gumbel top-k. Texts are scored once more rather than shuffled."""
-    model, toxic, limit, _, bound = _marked(docs, labels, k, doc_id=doc_id, text=text)
+    """``docs`` kept by Gumbel top-k. Texts are scored once more rather than shuffled. Columns go by
+    place inside, so that none clashes with the scores."""
+    inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    at = {"doc_id": f"c{docs.columns.index(doc_id)}", "text": f"c{docs.columns.index(text)}"}
+    model, toxic, limit, _, bound = _marked(inner, labels, k, **at)
     if model is None:
         return docs
-    kept = scored(docs, model, toxic, limit, doc_id=doc_id, text=text)
-    return kept.filter(F.lit(False) if bound is None else F.col("_key") >= bound).select(*docs.columns)
+    kept = scored(inner, model, toxic, limit, **at)
+    return kept.filter(F.lit(False) if bound is None else F.col("_key") >= bound).select(*[F.col(n).alias(c) for n, c in zip(inner.columns, docs.columns, strict=True)])
 
 
 def op9_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
