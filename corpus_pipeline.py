@@ -32,7 +32,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     and repeated ids are told apart."""
     named = docs.withColumn("_text_hash", F.xxhash64("text"))
     found = decontamination.hits(named.select("doc_id", "text", "_text_hash"), table(spark, sf_dir, "benchmark"), keep=("_text_hash",))
-    gone = written(found.filter(F.size("spans") > 0).select(F.col("doc_id").alias("_gone"), F.col("_text_hash").alias("_gone_hash")).distinct(), "contaminated", small=True)
+    gone = written(found.filter(F.size("spans") > 0).select(F.col("doc_id").alias("_gone"), F.col("_text_hash").alias("_gone_hash")).distinct(), "contaminated")
     hint = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     return named.join(hint, named["doc_id"].eqNullSafe(gone["_gone"]) & (named["_text_hash"] == gone["_gone_hash"]), "left_anti").select(*docs.columns)
 
@@ -40,15 +40,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time a document is taken, in training order; the last taking of a source may
     end within a document, whose text is cut there. Other columns stay as they are."""
-    names = [f"_doc_{c}" for c in docs.columns]
-    inner = docs.toDF(*names)
-    taken = mixing.takings(mixing.plan(inner, doc_id="_doc_doc_id", text="_doc_text", source="_doc_source"))
-    partly = F.col("words_taken") < F.col("size")
-    text = F.when(partly, mixing.cut(F.col("_doc_text"), F.col("words_taken"))).otherwise(F.col("_doc_text"))
-    out = taken.withColumn("_doc_text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("_doc_n_chars", F.when(partly, F.char_length("_doc_text").cast("long")).otherwise(F.col("_doc_n_chars")))
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+    return mixing.mixed(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
