@@ -64,6 +64,7 @@ def test_against_brute_force(spark):
 @pytest.mark.parametrize("depth", [0, 3])
 def test_large_buckets(spark, monkeypatch, depth):
     monkeypatch.setattr(jaccard, "LIMIT", 20)
+    monkeypatch.setattr(jaccard, "BLOCK", 15)
     monkeypatch.setattr(jaccard, "DEPTH", depth)
     check(spark, made(160, 2, 2))
 
@@ -77,3 +78,16 @@ def test_defined_cases(spark):
 def test_documents(spark):
     rows = [(r["doc_id"], r["text"]) for r in table(spark, "/root/testdata/sf0.01", "documents").collect()]
     check(spark, rows)
+
+
+def test_recursion_on_documents(spark, monkeypatch):
+    """Buckets of more than 4 sets are split on sf0.01: the rows are those of the SQL-checked setting."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    want = sorted(map(tuple, jaccard.join(docs).collect()))
+    seen = []
+    split = jaccard._split
+    monkeypatch.setattr(jaccard, "_split", lambda root: seen.append(root) or split(root))
+    for name, value in (("LIMIT", 4), ("BLOCK", 10)):
+        monkeypatch.setattr(jaccard, name, value)
+    assert sorted(map(tuple, jaccard.join(docs).collect())) == want
+    assert seen.count(False) >= 1

@@ -7,8 +7,9 @@ each further minimum hash that the bucket's path samples (``CHILDREN`` expected)
 bucket of their token. Small buckets are compared by brute force, exactly. Two sets of similarity s
 part in a run with a chance below 1 - s/2, and ``RUNS`` follows from that and the target recall.
 
-A bucket that ``DEPTH`` splits did not make small holds sets that are alike in earnest; it is
-compared in pairs of blocks of LIMIT/2 sets. Within a bucket, only groups joined by agreeing
+A split that leaves the share ``ALIKE`` of a bucket together, or the last of ``DEPTH`` splits, has met sets
+that are alike in earnest: they are compared in pairs of blocks of ``BLOCK`` sets, for which each of n
+sets is listed n/BLOCK times, as often as its row of n comparisons needs. Within a bucket, only groups joined by agreeing
 signatures are compared set by set, and groups with the same members once. A pair that
 several buckets hold counts in the least of them: each set carries the list of its buckets. A bucket
 gives one row a set (its links, and the least set it reaches in this bucket), never pairs.
@@ -39,8 +40,8 @@ RECALL = 0.9999
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - SIMILARITY / 2))
 SIGNATURE = 48
 CHILDREN = 1.67
-LIMIT = 2000
-DEPTH = 4
+LIMIT, BLOCK = 256, 1000
+DEPTH, ALIKE = 4, 0.75
 #: Sets are compared where this share of minimum hashes agrees, or a chain of such sets joins them:
 #: 4.5 standard deviations below a similarity of 0.8.
 AGREE = 0.54
@@ -96,6 +97,8 @@ def _paths(sig: np.ndarray, path: np.ndarray | None) -> tuple[np.ndarray, np.nda
 
 
 def _split(root: bool):
+    """set, path, n, sig -> the set in each child of its path, with the size ``of`` the bucket it came from."""
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
@@ -103,7 +106,8 @@ def _split(root: bool):
                 sig = np.frombuffer(b"".join(some.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, SIGNATURE)
                 path = None if root else some.column("path").to_numpy().view(np.uint64)
                 row, child = _paths(sig, path)
-                yield pa.record_batch([some.column("set").take(pa.array(row)), pa.array(child.view(np.int64))], names=["set", "path"])
+                of = pa.nulls(len(row), pa.int64()) if root else some.column("n").take(pa.array(row))
+                yield pa.record_batch([some.column("set").take(pa.array(row)), pa.array(child.view(np.int64)), of], names=["set", "path", "of"])
 
     return split
 
@@ -111,29 +115,36 @@ def _split(root: bool):
 def buckets(sets: DataFrame) -> DataFrame:
     """``set``, ``bucket``: which sets meet in which brute-force comparison. ``sets`` has ``set``
     and ``sig``."""
-    rows = sets.mapInArrow(_split(True), "set binary, path long")
-    leaves = []
+    schema = "set binary, path long, of long"
+    rows = sets.mapInArrow(_split(True), schema)
+    leaves, blocked = [], []
     for depth in range(DEPTH + 1):
         if depth:
             rows = written(rows, f"paths-{depth}", small=True)
-        big = written(rows.groupBy("path").agg(F.count("*").alias("n")).filter(F.col("n") > LIMIT), "big", small=True)
+        big = written(rows.groupBy("path").agg(F.count("*").alias("n"), F.max("of").alias("of")).filter(F.col("n") > LIMIT), "big", small=True)
         n_big = big.count()
         hint = F.broadcast if n_big <= BROADCAST_ROWS else (lambda x: x)
-        small = rows.join(hint(big), "path", "left_anti") if n_big else rows
-        met = small.groupBy("path").agg(F.sort_array(F.collect_set("set")).alias("sets")).filter(F.size("sets") > 1)
+        small = rows.join(hint(big.select("path")), "path", "left_anti") if n_big else rows
+        met = small.groupBy("path").agg(F.sort_array(F.collect_set("set")).alias("sets")).filter(F.size("sets") > 1)  # at most LIMIT
         leaves.append(met.select(F.xxhash64("sets").alias("bucket"), "sets"))
         if not n_big:
             break
-        rows = rows.join(hint(big), "path")
-        if depth == DEPTH:
-            # pairs of blocks: a set goes to one bucket for each block of its path
-            blocks = F.ceil(F.col("n") / (LIMIT // 2)).cast("int")
-            own = F.pmod(F.xxhash64("set", "path"), blocks).cast("int")
-            pairs = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            blocked = pairs.select(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "set")
-            return _exploded(leaves).unionByName(blocked).distinct()
-        rows = rows.drop("n").join(sets, "set").mapInArrow(_split(False), "set binary, path long")
-    return _exploded(leaves)
+        rows = rows.select("set", "path").join(hint(big), "path")
+        alike = F.lit(True) if depth == DEPTH else F.coalesce(F.col("n") >= ALIKE * F.col("of"), F.lit(False))
+        blocked.append(_in_blocks(rows.filter(alike)))
+        if depth < DEPTH:
+            rows = rows.filter(~alike).select("set", "path", "n").join(sets, "set").mapInArrow(_split(False), schema)
+    out = _exploded(leaves)
+    for more in blocked:
+        out = out.unionByName(more)
+    return out.distinct() if blocked else out
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Each set of a bucket of ``n`` in one bucket for every pair of blocks that its own is in."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    pairs = rows.withColumn("own", F.pmod(F.xxhash64("set", "path"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return pairs.select(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "set")
 
 
 def _exploded(leaves: list[DataFrame]) -> DataFrame:
@@ -278,13 +289,13 @@ def _joined(docs: DataFrame, doc_id: str, text: str, similarity: float) -> DataF
     likely = met.join(sets.select("set", "sig"), "set").repartition(parts, "bucket").sortWithinPartitions("bucket", "set").mapInArrow(_likely, "sets array<binary>")
     likely = likely.select(F.xxhash64("sets").alias("bucket"), "sets").dropDuplicates(["bucket"]).select("bucket", F.explode("sets").alias("set"))
     of = likely.groupBy("set").agg(F.sort_array(F.collect_set("bucket")).alias("buckets")).join(sets.select("set", "least", "copies"), "set")
-    of = written(of, "met", small=True)
+    of = written(of, "met")
     ids = of.select(F.col("least").alias("doc")).distinct()
     hint = F.broadcast if of.count() <= BROADCAST_ROWS else (lambda x: x)
     shingles = base.join(hint(ids), base["doc"].eqNullSafe(ids["doc"]), "left_semi").select("text").mapInArrow(_texts, "set binary, shingles binary").dropDuplicates(["set"])
     compared = of.join(shingles, "set").select(F.explode("buckets").alias("bucket"), "set", "shingles", "copies", "buckets")
     found = compared.repartition(parts, "bucket").sortWithinPartitions("bucket", "set").mapInArrow(_compare(similarity), "set binary, links long, root binary")
-    found = written(found, "compared", small=True)
+    found = written(found, "compared")
     links = found.groupBy("set").agg(F.sum("links").alias("links"))
     labels = components(found.select("set", "root").filter("set != root").distinct(), "set", "root")
     known = sets.select("set", "least", "copies").join(links, "set", "left").join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
