@@ -91,3 +91,12 @@ def test_recursion_on_documents(spark, monkeypatch):
         monkeypatch.setattr(jaccard, name, value)
     assert sorted(map(tuple, jaccard.join(docs).collect())) == want
     assert seen.count(False) >= 1
+
+
+def test_alike_buckets(spark):
+    """One bucket of near copies, one of sets that share a token only."""
+    sig = np.random.default_rng(1).integers(0, 1 << 32, (600, jaccard.SIGNATURE), dtype=np.uint32)
+    sig[:300] = np.where(np.random.default_rng(2).random((300, jaccard.SIGNATURE)) < 0.85, sig[0], sig[:300])
+    rows = [(bytes([i // 256, i % 256]), x.tobytes(), int(i < 300), 300) for i, x in enumerate(sig)]
+    sets = spark.createDataFrame(rows, "set binary, sig binary, path long, n long")
+    assert [r["path"] for r in jaccard._alike(sets.select("set", "path", "n"), sets.select("set", "sig")).collect()] == [1]

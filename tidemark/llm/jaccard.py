@@ -7,9 +7,10 @@ each further minimum hash that the bucket's path samples (``CHILDREN`` expected)
 bucket of their token. Small buckets are compared by brute force, exactly. Two sets of similarity s
 part in a run with a chance below 1 - s/2, and ``RUNS`` follows from that and the target recall.
 
-A split that leaves the share ``ALIKE`` of a bucket together, or the last of ``DEPTH`` splits, has met sets
-that are alike in earnest: they are compared in pairs of blocks of ``BLOCK`` sets, for which each of n
-sets is listed n/BLOCK times, as often as its row of n comparisons needs. Within a bucket, only groups joined by agreeing
+A bucket that a split would leave together, as the share ``ALIKE`` of its sets agree in further minimum
+hashes (``PROBES``), or that ``DEPTH`` splits left large, holds sets that are alike in earnest: they are
+compared in pairs of blocks of ``BLOCK`` sets, for which each of n sets is listed n/BLOCK times, as often
+as its row of n comparisons needs. Within a bucket, only groups joined by agreeing
 signatures are compared set by set, and groups with the same members once. A pair that
 several buckets hold counts in the least of them: each set carries the list of its buckets. A bucket
 gives one row a set (its links, and the least set it reaches in this bucket), never pairs.
@@ -41,7 +42,7 @@ RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - SIMILARITY / 2))
 SIGNATURE = 48
 CHILDREN = 1.67
 LIMIT, BLOCK = 256, 1000
-DEPTH, ALIKE = 4, 0.75
+DEPTH, ALIKE, PROBES = 4, 0.7, (20, 30, 40)
 #: Sets are compared where this share of minimum hashes agrees, or a chain of such sets joins them:
 #: 4.5 standard deviations below a similarity of 0.8.
 AGREE = 0.54
@@ -97,7 +98,7 @@ def _paths(sig: np.ndarray, path: np.ndarray | None) -> tuple[np.ndarray, np.nda
 
 
 def _split(root: bool):
-    """set, path, n, sig -> the set in each child of its path, with the size ``of`` the bucket it came from."""
+    """set, path, sig -> the set in each child of its path."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,22 +107,29 @@ def _split(root: bool):
                 sig = np.frombuffer(b"".join(some.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, SIGNATURE)
                 path = None if root else some.column("path").to_numpy().view(np.uint64)
                 row, child = _paths(sig, path)
-                of = pa.nulls(len(row), pa.int64()) if root else some.column("n").take(pa.array(row))
-                yield pa.record_batch([some.column("set").take(pa.array(row)), pa.array(child.view(np.int64)), of], names=["set", "path", "of"])
+                yield pa.record_batch([some.column("set").take(pa.array(row)), pa.array(child.view(np.int64))], names=["set", "path"])
 
     return split
 
 
+def _alike(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``path`` of the buckets whose sets agree in the probed minimum hashes, of which a hash into 16
+    values is counted: on average over the probes, the share ``ALIKE`` has the most frequent one."""
+    probe = F.array(*[F.struct(F.lit(c).alias("c"), F.substring(F.hex(F.substring("sig", 4 * c + 1, 1)), 2, 1).alias("v")) for c in PROBES])
+    counts = rows.join(sets.select("set", probe.alias("probe")), "set").select("path", "n", F.explode("probe").alias("p")).groupBy("path", "n", "p").agg(F.count("*").alias("k"))
+    most = counts.groupBy("path", "n", "p.c").agg(F.max("k").alias("k")).groupBy("path", "n").agg(F.avg("k").alias("k"))
+    return most.filter(F.col("k") >= ALIKE * F.col("n")).select("path")
+
+
 def buckets(sets: DataFrame) -> DataFrame:
     """``set``, ``bucket``: which sets meet in which brute-force comparison. ``sets`` has ``set``
     and ``sig``."""
-    schema = "set binary, path long, of long"
-    rows = sets.mapInArrow(_split(True), schema)
+    rows = sets.mapInArrow(_split(True), "set binary, path long")
     leaves, blocked = [], []
     for depth in range(DEPTH + 1):
         if depth:
             rows = written(rows, f"paths-{depth}", small=True)
-        big = written(rows.groupBy("path").agg(F.count("*").alias("n"), F.max("of").alias("of")).filter(F.col("n") > LIMIT), "big", small=True)
+        big = written(rows.groupBy("path").agg(F.count("*").alias("n")).filter(F.col("n") > LIMIT), "big", small=True)
         n_big = big.count()
         hint = F.broadcast if n_big <= BROADCAST_ROWS else (lambda x: x)
         small = rows.join(hint(big.select("path")), "path", "left_anti") if n_big else rows
@@ -129,11 +137,13 @@ def buckets(sets: DataFrame) -> DataFrame:
         leaves.append(met.select(F.xxhash64("sets").alias("bucket"), "sets"))
         if not n_big:
             break
-        rows = rows.select("set", "path").join(hint(big), "path")
-        alike = F.lit(True) if depth == DEPTH else F.coalesce(F.col("n") >= ALIKE * F.col("of"), F.lit(False))
-        blocked.append(_in_blocks(rows.filter(alike)))
-        if depth < DEPTH:
-            rows = rows.filter(~alike).select("set", "path", "n").join(sets, "set").mapInArrow(_split(False), schema)
+        rows = written(rows.join(hint(big), "path"), "large", small=True)
+        if depth == DEPTH:
+            blocked.append(_in_blocks(rows))
+        else:
+            alike = hint(written(_alike(rows, sets), "alike", small=True))
+            blocked.append(_in_blocks(rows.join(alike, "path", "left_semi")))
+            rows = rows.join(alike, "path", "left_anti").select("set", "path").join(sets, "set").mapInArrow(_split(False), "set binary, path long")
     out = _exploded(leaves)
     for more in blocked:
         out = out.unionByName(more)
