@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -115,10 +116,11 @@ def _split(root: bool):
 def _alike(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """``path`` of the buckets whose sets agree in the probed minimum hashes, of which a hash into 16
     values is counted: on average over the probes, the share ``ALIKE`` has the most frequent one."""
-    probe = F.array(*[F.struct(F.lit(c).alias("c"), F.substring(F.hex(F.substring("sig", 4 * c + 1, 1)), 2, 1).alias("v")) for c in PROBES])
-    counts = rows.join(sets.select("set", probe.alias("probe")), "set").select("path", "n", F.explode("probe").alias("p")).groupBy("path", "n", "p").agg(F.count("*").alias("k"))
-    most = counts.groupBy("path", "n", "p.c").agg(F.max("k").alias("k")).groupBy("path", "n").agg(F.avg("k").alias("k"))
-    return most.filter(F.col("k") >= ALIKE * F.col("n")).select("path")
+    names = [f"v{c}" for c in PROBES]
+    probed = sets.select("set", *[F.substring(F.hex(F.substring("sig", 4 * c + 1, 1)), 2, 1).alias(v) for c, v in zip(PROBES, names, strict=True)])
+    counts = rows.join(probed, "set").groupBy("path", "n", *names).agg(F.count("*").alias("k"))  # added up within each task first
+    most = [counts.groupBy("path", "n", v).agg(F.sum("k").alias("k")).groupBy("path", "n").agg(F.max("k").alias("k")) for v in names]
+    return reduce(DataFrame.unionByName, most).groupBy("path", "n").agg(F.avg("k").alias("k")).filter(F.col("k") >= ALIKE * F.col("n")).select("path")
 
 
 def buckets(sets: DataFrame) -> DataFrame:
