@@ -3,23 +3,26 @@
 A term's inverse document frequency is counted over all documents. The lexicon holds the terms
 whose share of documents lies between ``LOW`` and ``HIGH``; as document frequencies sum up to the
 distinct terms of all documents, at most (mean distinct terms of a document)/``LOW`` terms can be
-in it, however many documents there are: that bound is checked before the lexicon is broadcast.
-``SUBSETS`` randomised lexicons each hold a pseudo-random part of it. Within each, a text's distinct
-terms are sorted and hashed; the fingerprint is the list of these hashes (``-`` where no term is
-left). A text none of whose terms is in any subset has the hash of all its terms in every place.
+in it, however many documents there are. That bound is checked against ``MOST_TERMS`` before the lexicon
+is broadcast; a corpus of longer documents on average is refused with an error and needs a higher ``LOW``.
+``SUBSETS`` randomised lexicons each hold a pseudo-random part of it, one in ``RATES`` terms in turn: dense
+ones tell short texts, sparse ones long texts. Within each, a text's distinct terms are sorted and hashed;
+the fingerprint is the list of these hashes (``-`` where no term is left, or, but for the sparsest, more
+than ``MOST``, which hardly an edit leaves as they are). A text none of whose terms is in any subset has the hash of all its terms in every place.
 Two fingerprints are alike by the share of subsets with equal hashes, of those in which either has
 terms; two texts without terms are alike.
 
 A term common in a share ``LOW`` of all documents is so in at least one task's documents; a first
 pass finds each task's frequent terms, a second counts just these, exactly, over all documents.
 
-Defined results: null text is empty; a null id comes first; repeated rows each have their row; the
+Defined results: null text is empty; ids are integers, and one that does not read as such fails the job;
+a null id comes first; repeated rows each have their row; the
 last document's next is the first; a single document is its own next.
 """
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +37,11 @@ from tidemark.llm.storage import written
 #: The band of document frequency, as shares of all documents: idf between ln(1/HIGH) and ln(1/LOW).
 LOW, HIGH = 0.0005, 0.05
 SUBSETS = 64
-#: A term is in a subset with this chance. Small subsets survive edits of other terms.
-CHANCE = 1 / 256
+#: A term is in a subset with a chance of one in its rate. Small subsets survive edits of other terms.
+RATES = (4, 16, 64, 256, 1024)
+MOST = 2
+#: Terms that are broadcast at most (8 bytes each): documents may have 8,000 distinct terms on average.
+MOST_TERMS = 16_000_000
 #: Candidates that the second pass looks up; beyond it all terms are counted through a shuffle.
 MOST_CANDIDATES = 4_000_000
 
@@ -92,6 +98,8 @@ def lexicon(docs: DataFrame, *, text: str = "text") -> tuple[np.ndarray, int]:
     n = total["docs"] if total else 0
     if not n:
         return np.zeros(0, dtype=np.uint64), 0
+    if total["terms"] / n / LOW > MOST_TERMS:
+        raise ValueError(f"{total['terms'] / n:.0f} distinct terms a document: the lexicon may be too large to broadcast")
     if found.count() <= MOST_CANDIDATES:
         candidates = spark.sparkContext.broadcast(np.sort(found.filter("docs = 0").select("term").toArrow().column(0).to_numpy().view(np.uint64)))
         df = texts.mapInArrow(_counter(candidates), "term long, n long")
@@ -145,8 +153,8 @@ def _counter(candidates):
     return count
 
 
-def fingerprints(hashes: np.ndarray, first: np.ndarray, terms: np.ndarray, subsets: int = SUBSETS, chance: float = CHANCE) -> np.ndarray:
-    """A (texts x subsets) array of 32-bit hashes; 0 where a subset keeps no term."""
+def fingerprints(hashes: np.ndarray, first: np.ndarray, terms: np.ndarray, subsets: int = SUBSETS, rates: Sequence[int] = RATES) -> np.ndarray:
+    """A (texts x subsets) array of 32-bit hashes; 0 where a subset keeps no term, or too many."""
     h, first = distinct_terms(hashes, first)
     all_terms = h
     n = len(first) - 1
@@ -156,7 +164,10 @@ def fingerprints(hashes: np.ndarray, first: np.ndarray, terms: np.ndarray, subse
     h, text = h[inside], np.repeat(np.arange(n), np.diff(first))[inside]
     for k in range(subsets):
         coin = K.mix(h ^ K.U64(0xA5A5A5A5A5A5A5A5 + k * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-        some = (coin >> K.U64(40)).astype(np.float64) < chance * (1 << 24)
+        rate = rates[k % len(rates)]
+        some = coin >> K.U64(40) < K.U64((1 << 24) // rate)
+        if rate != rates[-1]:
+            some[some] = np.bincount(text[some], minlength=n)[text[some]] <= MOST
         # terms are sorted within a text: a polynomial of their order is one hash of the sorted list
         t, x = text[some], K.mix(coin[some])
         begin = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else np.zeros(0, dtype=np.int64)
