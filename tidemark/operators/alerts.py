@@ -1,8 +1,9 @@
 """Debounced alerts in batch: a majority over the last rows, then a cooldown per source."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,17 +32,58 @@ def majority_windows(df: DataFrame, source: Sequence[str], order: Sequence[str],
     return rows.select(*df.columns, F.col("_best.name").alias("majority_name"), F.col("_best.votes").alias("votes"), F.col("_best.mean_conf").alias("mean_conf"))
 
 
+def _folded(df: DataFrame, source: str, order: Sequence[str], columns: Sequence[str], keep) -> DataFrame:
+    """The rows of ``columns`` that a state machine keeps of each source, in order. ``keep()`` makes one,
+    which says of each row whether it stays. Rows stream through a task in order; nothing is gathered."""
+    rows = df.select(*dict.fromkeys([source, *columns, *order])).repartition(source).sortWithinPartitions(source, *order)
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, now = None, None
+        for batch in batches:
+            taken = []
+            for i, (key, *row) in enumerate(zip(batch.column(source).to_pylist(), *(batch.column(c).to_pylist() for c in columns), strict=True)):
+                if machine is None or key != now:
+                    machine, now = keep(), key
+                if machine(row):
+                    taken.append(i)
+            yield batch.select(list(columns)).take(pa.array(taken, pa.int64()))
+
+    return rows.mapInArrow(run, schema)
+
+
 def cooldown(df: DataFrame, source: str, ts: str, name: str, seconds: float = COOLDOWN, tie: Sequence[str] = ()) -> DataFrame:
     """``source``, ``ts``, ``name`` of the rows that fire: another name than the last fired, or the
-    same after ``seconds``. The state is the last name and time, folded over a source's rows."""
-    fields = df.schema
-    line = F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(tie)], F.col(name).alias("name"))))
-    t, n = fields[ts].dataType.simpleString(), fields[name].dataType.simpleString()
-    start = F.struct(F.lit(None).cast(n).alias("name"), F.lit(None).cast(t).alias("t"), F.array().cast(f"array<struct<t:{t},name:{n}>>").alias("out"))
-
-    def step(a, x):
-        fires = F.coalesce((a["name"] != x["name"]) | (x["t"] >= a["t"] + seconds), F.lit(True))
-        return F.struct(F.when(fires, x["name"]).otherwise(a["name"]).alias("name"), F.when(fires, x["t"]).otherwise(a["t"]).alias("t"), F.when(fires, F.concat(a["out"], F.array(F.struct(x["t"].alias("t"), x["name"].alias("name"))))).otherwise(a["out"]).alias("out"))
-
-    fired = df.groupBy(source).agg(line.alias("line")).select(source, F.explode(F.aggregate("line", start, step, lambda a: a["out"])).alias("x"))
-    return fired.select(source, F.col("x.t").alias(ts), F.col("x.name").alias(name))
+    same after ``seconds``."""
+
+    def machine():
+        last: list = [None, None]
+
+        def fires(row: list) -> bool:
+            _, t, n = row
+            if None not in (*last, t, n) and last[0] == n and t < last[1] + seconds:
+                return False
+            last[:] = n, t
+            return True
+
+        return fires
+
+    return _folded(df, source, [ts, *tie, name], [source, ts, name], machine)
+
+
+def throttle(df: DataFrame, source: str, ts: str, interval: float = 1.0, keep: Sequence[str] = ()) -> DataFrame:
+    """``source``, ``ts`` and ``keep`` of the frames that are processed: the first of a source, and each
+    that comes ``interval`` or more after the last processed one; others are dropped."""
+
+    def machine():
+        last: list = [None]
+
+        def processed(row: list) -> bool:
+            if last[0] is not None and row[1] - last[0] < interval:
+                return False
+            last[0] = row[1]
+            return True
+
+        return processed
+
+    return _folded(df.filter(F.col(ts).isNotNull()), source, [ts, *keep], [source, ts, *keep], machine)

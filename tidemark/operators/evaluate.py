@@ -14,10 +14,20 @@ def class_counts(df: DataFrame, label: str, classes: DataFrame) -> DataFrame:
 
 
 def confusion_matrix(df: DataFrame, true: str, predicted: str, classes: Sequence) -> DataFrame:
-    """A row for each true class, a column ``pred_<class>`` for each predicted one, zeros filled in."""
-    sums = [F.count(F.when((F.col(true) == F.col("class")) & (F.col(predicted) == F.lit(c)), 1)).alias(f"pred_{c}") for c in classes]
+    """A row for each true class, a column ``pred_<class>`` for each predicted one, zeros filled in.
+    Rows are counted first, so that a row a class is joined."""
+    counts = df.groupBy(F.col(true).alias("class")).agg(*[F.count(F.when(F.col(predicted) == F.lit(c), 1)).alias(f"pred_{c}") for c in classes])
     rows = df.sparkSession.createDataFrame([(c,) for c in classes], df.select(F.col(true).alias("class")).schema)
-    return rows.join(df.select(true, predicted), F.col("class") == F.col(true), "left").groupBy("class").agg(*sums)
+    return rows.join(counts, "class", "left").select("class", *[F.coalesce(f"pred_{c}", F.lit(0)).cast("long").alias(f"pred_{c}") for c in classes])
+
+
+def matrix_text(matrix: DataFrame, classes: Sequence) -> str:
+    """A confusion matrix as text: names flush left, counts flush right in columns of six."""
+    width = max(len(str(c)) for c in classes)
+    rows = {r["class"]: r for r in matrix.collect()}  # a row a class
+    lines = ["  ".join([" " * width, *(f"{c!s:>6}" for c in classes)])]
+    lines += ["  ".join([f"{c!s:<{width}}", *(f"{rows[c][f'pred_{p}']:>6}" for p in classes)]) for c in classes]
+    return "\n".join(lines)
 
 
 def precision_recall(df: DataFrame, true: str, predicted: str, classes: Sequence) -> DataFrame:

@@ -55,3 +55,16 @@ def forward_asof(targets: DataFrame, frames: DataFrame, key: str, ts: str, pts:
     hit = F.first(F.when(F.col("_kind") == 1, F.struct("_pts", "_frame")), ignorenulls=True).over(ahead)
     out = a.unionByName(b).withColumn("_hit", hit).filter((F.col("_kind") == 0) & F.col("_hit").isNotNull())
     return out.select(key, "_row.*", F.col("_hit._pts").alias(pts), F.col("_hit._frame").alias(frame))
+
+
+def from_name(df: DataFrame, name: str, start: str) -> DataFrame:
+    """The rows from the one called ``start`` on, by name; an error where there is none."""
+    if df.filter(F.col(name) == start).isEmpty():
+        raise ValueError(f"{start} is not there")
+    return df.filter(F.col(name) >= start)
+
+
+def present(rows: DataFrame, files: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose file is listed, and those whose file is missing, to be counted and skipped."""
+    known = files.select(key).distinct()
+    return rows.join(known, key, "left_semi"), rows.join(known, key, "left_anti")

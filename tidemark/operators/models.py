@@ -1,6 +1,7 @@
 """Detection, classification and training as dataflow. Models are injected callables."""
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -89,11 +90,26 @@ def train(samples: DataFrame, label: str, vector: str, *, epochs: int = 30, frac
     from tidemark.operators.sampling import class_split
 
     split = class_split(samples, label, list(order), fraction).withColumn("features", array_to_vector(F.col(vector).cast("array<double>"))).withColumn("_name", F.col(label).cast("string"))
-    names = [r[0] for r in split.select("_name").distinct().orderBy("_name").limit(10_000).collect()]
+    index = StringIndexer(inputCol="_name", outputCol="_class", stringOrderType="alphabetAsc").fit(split)
+    names = list(index.labels)
     if len(names) < 2:
         raise ValueError("training needs two classes at least")
-    steps = [StringIndexer(inputCol="_name", outputCol="_class", stringOrderType="alphabetAsc"), LogisticRegression(labelCol="_class", predictionCol="_predicted", maxIter=epochs)]
-    steps.append(IndexToString(inputCol="_predicted", outputCol="predicted", labels=names))
+    steps = [index, LogisticRegression(labelCol="_class", predictionCol="_predicted", maxIter=epochs), IndexToString(inputCol="_predicted", outputCol="predicted", labels=names)]
     model = Pipeline(stages=steps).fit(split.filter("split = 'train'"))
     held = model.transform(split.filter("split = 'val'")).select(*[c for c in samples.columns], "predicted")
     return model, names, held
+
+
+def save_model(spark, model, classes: Sequence[str], path: str, **about) -> None:
+    """Saves a fitted pipeline with its classes and what else is said about it (numbers and strings)."""
+    model.write().overwrite().save(f"{path}/model")
+    row = [(json.dumps(list(classes)), len(classes), json.dumps(about))]
+    spark.createDataFrame(row, "classes string, n_classes int, about string").coalesce(1).write.mode("overwrite").json(f"{path}/about")
+
+
+def load_model(spark, path: str) -> tuple:
+    """A saved model, its classes, and what was said about it."""
+    from pyspark.ml import PipelineModel
+
+    row = spark.read.schema("classes string, n_classes int, about string").json(f"{path}/about").first()
+    return PipelineModel.load(f"{path}/model"), json.loads(row["classes"]), json.loads(row["about"])

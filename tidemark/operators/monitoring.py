@@ -28,9 +28,19 @@ def per_hour(df: DataFrame, key: str, ts: str) -> DataFrame:
 
 
 def trailing_count(df: DataFrame, key: Sequence[str], seconds: str, span: int, to: str = "n_trailing") -> DataFrame:
-    """Rows of the same key in the last ``span`` seconds, this one included."""
-    w = Window.partitionBy(*key).orderBy(F.floor(seconds).cast("long")).rangeBetween(-span, 0)
-    return df.withColumn(to, F.count("*").over(w))
+    """Rows of the same key in the last ``span`` seconds, this one included. Rows are counted by second
+    first; a second's count also goes to the next stretch of ``span`` seconds, so that a task holds two
+    stretches of a key and not the whole key."""
+    second = F.floor(seconds).cast("long")
+    stretch = F.floor(F.col("_second") / span)
+    counts = df.groupBy(*key, second.alias("_second")).agg(F.count("*").alias("_n")).withColumn("_stretch", F.explode(F.array(stretch, stretch + 1)))
+    w = Window.partitionBy(*key, "_stretch").orderBy("_second").rangeBetween(-span, 0)
+    sums = counts.withColumn(to, F.sum("_n").over(w)).filter(F.col("_stretch") == stretch).select(*key, "_second", to)
+    left, right = df.withColumn("_second", second).alias("l"), sums.alias("r")
+    same = F.col("l._second").eqNullSafe(F.col("r._second"))
+    for k in key:
+        same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    return left.join(right, same).select(*[F.col(f"l.{c}") for c in df.columns], F.col(f"r.{to}"))
 
 
 def last_seen(df: DataFrame, key: str, ts: str, pattern: str = ".*") -> DataFrame:

@@ -7,25 +7,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.session import materialized
+
 
 def ranked(df: DataFrame, order: Sequence[str], to: str = "_rank") -> DataFrame:
-    """Global ranks 0.. of a total order without sorting in one task: rows are range-partitioned,
-    partitions counted, and ranks within a partition moved by the counts before it."""
+    """Global ranks 0.. of a total order without sorting in one task: rows are range-partitioned and
+    written with the number of their partition, partitions counted, and ranks within one moved by the
+    counts before it, a broadcast row a partition."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = df.select(*order).repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    bounds = keys.groupBy("_part").agg(F.min(F.struct(*order)).alias("least"), F.count("*").alias("n")).orderBy("least").collect()  # one row a partition
-    if not bounds:
-        return df.withColumn(to, F.lit(0).cast("long"))
-    part, before, total = F.lit(0), F.lit(0).cast("long"), 0
-    here = F.struct(*order)
-    for i, b in enumerate(bounds):
-        if i:
-            least = F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, b["least"], strict=True)])
-            part, before = F.when(here >= least, i).otherwise(part), F.when(here >= least, F.lit(total).cast("long")).otherwise(before)
-        total += b["n"]
+    placed = materialized(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranked")
+    before, starts = 0, []
+    for r in placed.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect():  # a row a partition
+        starts.append((r["_part"], before))
+        before += r["n"]
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return df.withColumn("_part", part).withColumn("_before", before).withColumn(to, F.col("_before") + within).drop("_part", "_before")
+    counted = placed.join(F.broadcast(spark.createDataFrame(starts, "_part int, _before long")), "_part")
+    return counted.withColumn(to, F.col("_before") + within).select(*df.columns, to)
 
 
 def stride_sample(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:

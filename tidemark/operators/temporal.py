@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.scalars import make_uid, rounded, timestamp_grid
+from tidemark.operators.sampling import ranked
 
 GAP_SECONDS, PAD_BEFORE, PAD_AFTER = 15.0, 3.0, 7.0
 CROP_GAP_SECONDS = 10.0
@@ -47,9 +48,9 @@ def expand_intervals(intervals: DataFrame, step: float = 1.0) -> DataFrame:
 
 def group_crops(crops: DataFrame, key: str = "video_stem", ms: str = "ms", name: str = "name", gap_seconds: float = CROP_GAP_SECONDS) -> DataFrame:
     """Crops with ``group_name`` (group_001, ... by key and time) and ``is_preview`` (its first crop).
-    Only the table of groups is numbered in one task, not the crops."""
+    The groups, which grow with the crops, are numbered by range partitions."""
     sessions = gap_sessions(crops, [key], ms, int(gap_seconds * 1000), "cluster", [name])
-    numbered = sessions.select(key, "cluster").distinct().withColumn("group_name", F.format_string("group_%03d", F.row_number().over(Window.orderBy(key, "cluster"))))
+    numbered = ranked(sessions.select(key, "cluster").distinct(), [key, "cluster"]).select(key, "cluster", F.format_string("group_%03d", F.col("_rank") + 1).alias("group_name"))
     first = F.row_number().over(Window.partitionBy(key, "cluster").orderBy(ms, name)) == 1
     return sessions.withColumn("is_preview", first).join(numbered, [key, "cluster"])
 

@@ -1,7 +1,6 @@
 """Queries over the test tables, one or more for each operator, and the SQL they must agree with."""
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,6 +11,7 @@ from pyspark.sql.window import Window
 from tidemark.functions import scalars as S
 from tidemark import schemas
 from tidemark.operators import alerts, dedup, evaluate, lookup, merge, models, monitoring, sampling, temporal
+from tidemark.session import shared_folder
 from tidemark.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,6 +179,20 @@ def cooldown_alerts(spark, sf):
     return alerts.cooldown(m, "user_id", "t", "name", 172800.0, ["event_id"])
 
 
+_THROTTLED = """line AS (SELECT user_id, event_id, epoch_us(ts) / 1e6::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+fold AS (
+  SELECT user_id, event_id, n, true AS processed, t AS last_t FROM line WHERE n = 1
+  UNION ALL
+  SELECT l.user_id, l.event_id, l.n, l.t - f.last_t >= 7200, CASE WHEN l.t - f.last_t >= 7200 THEN l.t ELSE f.last_t END FROM fold f JOIN line l ON l.user_id = f.user_id AND l.n = f.n + 1)"""
+
+
+@query(f"WITH RECURSIVE {_THROTTLED} SELECT user_id, event_id FROM fold WHERE processed")
+def throttled_frames(spark, sf):
+    """T-1: a frame is processed two hours after the last processed one, or later."""
+    e = _t(spark, sf, "events").select("user_id", S.seconds("ts").alias("t"), "event_id")
+    return alerts.throttle(e, "user_id", "t", 7200.0, ["event_id"]).select("user_id", "event_id")
+
+
 def _streamed(spark: SparkSession, sf: str) -> DataFrame:
     """The events table as a file stream."""
     reader = spark.readStream.schema(_t(spark, sf, "events").schema)
@@ -190,8 +204,7 @@ def _streamed(spark: SparkSession, sf: str) -> DataFrame:
 
 def _drained(spark: SparkSession, df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there; its rows, by way of the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    folder = f"{base.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
 
     def sink(batch: DataFrame, number: int) -> None:
         if mode == "append":
@@ -268,34 +281,33 @@ def _last_lines(spark: SparkSession, sf: str) -> DataFrame:
     return merge.latest(_t(spark, sf, "lineitem"), _LINE, ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"])
 
 
-@query(f"WITH {_LAST} SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_orderkey % 3 = 0 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity, l_extendedprice FROM last")
+@query(f"WITH {_LAST} SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_extendedprice > 50000 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity, l_extendedprice FROM last")
 def upsert_latest(spark, sf):
     """D-1 D-3 D-5: duplicates reduced to the latest; a subset of columns updated by key."""
     target = _last_lines(spark, sf).select(*_LINE, "l_partkey", "l_quantity", "l_extendedprice")
-    source = target.filter("l_orderkey % 3 = 0").select(*_LINE, (F.col("l_quantity") + 1).alias("l_quantity"), F.lit(0.0).alias("l_extendedprice"))
+    source = target.filter("l_extendedprice > 50000").select(*_LINE, (F.col("l_quantity") + 1).alias("l_quantity"), F.lit(0.0).alias("l_extendedprice"))
     return merge.upsert(target, source, _LINE, ["l_quantity"])
 
 
-@query(f"WITH {_LAST} SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 2 = 0 THEN 'old' ELSE 'new' END AS origin FROM last")
+@query(f"WITH {_LAST} SELECT l_orderkey, l_linenumber, CASE WHEN EXISTS (SELECT 1 FROM lineitem o WHERE o.l_orderkey = last.l_orderkey AND o.l_linenumber = last.l_linenumber AND o.l_returnflag = 'R') THEN 'old' ELSE 'new' END AS origin FROM last")
 def insert_ignore(spark, sf):
     """D-6 D-7: what is there stays."""
-    lines = _t(spark, sf, "lineitem").select(*_LINE).distinct()
-    old = lines.filter("l_orderkey % 2 = 0").withColumn("origin", F.lit("old"))
+    old = _t(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(*_LINE).distinct().withColumn("origin", F.lit("old"))
     return merge.insert_ignore(old, _t(spark, sf, "lineitem").select(*_LINE).withColumn("origin", F.lit("new")), _LINE)
 
 
-@query("SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 5 = 0 THEN 'X' END, o_orderstatus) AS o_orderstatus FROM orders")
+@query("SELECT o_orderkey, coalesce(CASE WHEN o_orderpriority = '1-URGENT' THEN 'X' END, o_orderstatus) AS o_orderstatus FROM orders")
 def update_flags(spark, sf):
     """D-10: update by a list of keys."""
     o = _t(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
-    return merge.update_by_key(o, o.filter("o_orderkey % 5 = 0").select("o_orderkey", F.lit("X").alias("o_orderstatus")), ["o_orderkey"], ["o_orderstatus"])
+    return merge.update_by_key(o, _t(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select("o_orderkey", F.lit("X").alias("o_orderstatus")), ["o_orderkey"], ["o_orderstatus"])
 
 
-@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_custkey % 7 <> 0 UNION ALL SELECT o_orderkey, o_custkey, 'R' FROM orders WHERE o_custkey % 7 = 0 AND o_totalprice > 100000 AND o_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000) UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_custkey % 7 = 0 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)")
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) UNION ALL SELECT o_orderkey, o_custkey, 'R' FROM orders WHERE o_totalprice > 400000")
 def replace_part(spark, sf):
     """D-8: delete by key, then insert."""
     o = _t(spark, sf, "orders")
-    new = o.filter("o_custkey % 7 = 0 and o_totalprice > 100000").select("o_orderkey", "o_custkey", F.lit("R").alias("o_orderstatus"))
+    new = o.filter("o_totalprice > 400000").select("o_orderkey", "o_custkey", F.lit("R").alias("o_orderstatus"))
     return merge.replace_where(o.select("o_orderkey", "o_custkey", "o_orderstatus"), new, ["o_custkey"])
 
 
@@ -314,11 +326,11 @@ def label_default(spark, sf):
 
 
 @query("""SELECT folder, label FROM (SELECT f.n_name || '_x' AS folder, l.label, row_number() OVER (PARTITION BY f.n_name ORDER BY length(l.label) DESC, l.label) AS k
-FROM nation f JOIN (SELECT lower(n_name) AS label FROM nation WHERE n_nationkey BETWEEN 1 AND 12) l ON contains(lower(f.n_name || '_x'), lower(l.label))) WHERE k = 1""")
+FROM nation f JOIN (SELECT lower(n_name) AS label FROM nation WHERE n_regionkey < 3) l ON contains(lower(f.n_name || '_x'), lower(l.label))) WHERE k = 1""")
 def longest_label_match(spark, sf):
     """J-15."""
     n = _t(spark, sf, "nation")
-    return lookup.longest_label(n.select(F.concat("n_name", F.lit("_x")).alias("folder")), "folder", n.filter(F.col("n_nationkey").between(1, 12)).select(F.lower("n_name").alias("label")), "label")
+    return lookup.longest_label(n.select(F.concat("n_name", F.lit("_x")).alias("folder")), "folder", n.filter("n_regionkey < 3").select(F.lower("n_name").alias("label")), "label")
 
 
 _BOX = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity * 10 AS x, l_discount * 1000 AS y, l_extendedprice / 500 AS w, l_extendedprice / 700 AS h FROM lineitem"
@@ -371,10 +383,10 @@ def path_parts(spark, sf):
     return _t(spark, sf, "pages").select("page_id", S.basename("url").alias("base"), S.stem("url").alias("stem"), S.suffix("url").alias("suffix"), S.parent_name("url").alias("parent"))
 
 
-@query("SELECT event_id, 'user_' || user_id AS stem, floor(value * 1000)::BIGINT AS ms FROM events WHERE event_id % 3 <> 0")
+@query("SELECT event_id, 'user_' || user_id AS stem, floor(value * 1000)::BIGINT AS ms FROM events WHERE event_type <> 'view'")
 def crop_names(spark, sf):
     """F-10 P-13: crop names parsed; what does not parse is dropped."""
-    name = F.concat(F.lit("crops/user_"), F.col("user_id").cast("string"), F.lit("__ts_"), F.format_string("%010d", F.floor(F.col("value") * 1000).cast("long")), F.when(F.col("event_id") % 3 != 0, F.lit("__box_0.jpg")).otherwise(F.lit(".jpg")))
+    name = F.concat(F.lit("crops/user_"), F.col("user_id").cast("string"), F.lit("__ts_"), F.format_string("%010d", F.floor(F.col("value") * 1000).cast("long")), F.when(F.col("event_type") != "view", F.lit("__box_0.jpg")).otherwise(F.lit(".jpg")))
     e = _t(spark, sf, "events").withColumn("name", name)
     return e.select("event_id", S.crop_stem("name").alias("stem"), S.crop_ms("name").alias("ms")).filter(F.col("stem").isNotNull())
 
@@ -603,14 +615,14 @@ def box_crops(spark, sf):
     return models.crops(_box_frames(spark, sf)).select("frame_uid", "crop_path", "crop_width", "crop_height")
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'crops/' || p_partkey ELSE '/other/' || p_partkey END AS path, CASE WHEN p_partkey % 3 = 0 THEN p_partkey::INTEGER END AS device, floor(p_retailprice)::BIGINT::VARCHAR AS version,
+@query("""SELECT p_partkey, CASE WHEN p_size > 25 THEN 'crops/' || p_partkey ELSE '/other/' || p_partkey END AS path, CASE WHEN p_size < 15 THEN p_partkey::INTEGER END AS device, floor(p_retailprice)::BIGINT::VARCHAR AS version,
 greatest(0, p_size - 20) AS "left", least(30, p_size + 5) AS "right" FROM part""")
 def path_and_device(spark, sf):
     """F-4 F-8 F-24 F-25: relative paths, clipping, model versions, device numbers."""
     p = _t(spark, sf, "part")
     key = F.col("p_partkey").cast("string")
-    path = S.relative_path(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("/data/crops/"), key)).otherwise(F.concat(F.lit("/other/"), key)), "/data")
-    source = F.when(F.col("p_partkey") % 3 == 0, key).otherwise(F.concat(F.lit("rtsp://"), key))
+    path = S.relative_path(F.when(F.col("p_size") > 25, F.concat(F.lit("/data/crops/"), key)).otherwise(F.concat(F.lit("/other/"), key)), "/data")
+    source = F.when(F.col("p_size") < 15, key).otherwise(F.concat(F.lit("rtsp://"), key))
     box = S.clipped_box((F.col("p_size") - 20).cast("double"), F.lit(0.0), (F.col("p_size") + 5).cast("double"), F.lit(9.0), F.lit(30), F.lit(9))
     return p.select("p_partkey", path.alias("path"), S.device_id(source).alias("device"), S.model_version("p_retailprice").alias("version"), box["left"].alias("left"), box["right"].alias("right"))
 
@@ -629,12 +641,12 @@ def schema_defaults(spark, sf):
     return merge.reset(schemas.conform(rows, "crops"), "is_duplicate", False).select("crop_uid", "label", "is_duplicate", "padding")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'new' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 4 = 0 THEN -1.0::DOUBLE WHEN o_orderkey % 3 <> 0 OR o_orderkey % 4 <> 0 THEN o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 4 = 0")
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'new' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderdate < DATE '1998-01-01' THEN o_totalprice ELSE -1.0::DOUBLE END AS o_totalprice FROM orders WHERE o_orderdate < DATE '1998-01-01' OR o_orderstatus = 'F'")
 def upsert_subset(spark, sf):
     """D-2 D-4: known keys keep what the update does not list; new keys come whole."""
-    o = _t(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    source = o.filter("o_orderkey % 4 = 0").select("o_orderkey", F.lit("new").alias("o_orderstatus"), F.lit(-1.0).alias("o_totalprice"))
-    return merge.upsert(o.filter("o_orderkey % 3 <> 0"), source, ["o_orderkey"], ["o_orderstatus"])
+    o = _t(spark, sf, "orders")
+    source = o.filter("o_orderstatus = 'F'").select("o_orderkey", F.lit("new").alias("o_orderstatus"), F.lit(-1.0).alias("o_totalprice"))
+    return merge.upsert(o.filter("o_orderdate < '1998-01-01'").select("o_orderkey", "o_orderstatus", "o_totalprice"), source, ["o_orderkey"], ["o_orderstatus"])
 
 
 @query("SELECT event_id, row_number() OVER (ORDER BY value, event_id) - 1 AS rank FROM events")
@@ -645,11 +657,11 @@ def global_ranks(spark, sf):
 
 
 @query("""SELECT label, count(*) AS n FROM (SELECT f.n_name AS folder, l.label, row_number() OVER (PARTITION BY f.n_name ORDER BY length(l.label) DESC, l.label) AS k
-FROM nation f JOIN (SELECT lower(n_name) AS label FROM nation WHERE n_nationkey BETWEEN 1 AND 12) l ON contains(lower(f.n_name), lower(l.label))) g JOIN nation n ON n.n_name = g.folder JOIN customer ON c_nationkey = n_nationkey WHERE k = 1 GROUP BY label""")
+FROM nation f JOIN (SELECT lower(n_name) AS label FROM nation WHERE n_regionkey < 3) l ON contains(lower(f.n_name), lower(l.label))) g JOIN nation n ON n.n_name = g.folder JOIN customer ON c_nationkey = n_nationkey WHERE k = 1 GROUP BY label""")
 def scattered_labels(spark, sf):
     """A-7 S-16: members of groups take the label that their folder's name holds."""
     n = _t(spark, sf, "nation")
-    chosen = lookup.longest_label(n.select(F.col("n_name").alias("folder")), "folder", n.filter(F.col("n_nationkey").between(1, 12)).select(F.lower("n_name").alias("label")), "label")
+    chosen = lookup.longest_label(n.select(F.col("n_name").alias("folder")), "folder", n.filter("n_regionkey < 3").select(F.lower("n_name").alias("label")), "label")
     members = _t(spark, sf, "customer").join(n.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("folder")), "c_nationkey")
     return members.join(chosen, "folder").groupBy("label").agg(F.count("*").alias("n"))
 

@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import dedup, evaluate, lookup, merge, models, monitoring, sampling, temporal
-from tidemark.sources import coco, files, sinks, video
+from tidemark.operators import alerts, dedup, evaluate, lookup, merge, models, monitoring, sampling, temporal
+from tidemark.sources import camera, coco, files, sinks, video
 from tidemark.sources.files import Store
+from tidemark.streaming import live as streams
 
 
 def build_index(spark: SparkSession, folder: str, path: str) -> DataFrame:
@@ -168,3 +169,31 @@ def log_training(spark: SparkSession, path: str, run: str, params: dict, accurac
     for r in per_class.collect():  # one row a class
         metrics |= {f"precision_{r['class']}": r["precision"], f"recall_{r['class']}": r["recall"]}
     sinks.log_run(spark, path, run, params, metrics)
+
+
+def live(store: Store, source: str, capture: str, models: str, checkpoint: str, *, interval: float = 1.0, threshold: float = alerts.THRESHOLD, window: int = alerts.SIZE, majority: int = alerts.MAJORITY, cooldown: float = alerts.COOLDOWN, reload_seconds: float = 3600.0, webhook: str | None = None, metrics: str | None = None, version: str = "", send: Callable = sinks.post, **options):
+    """Watches a camera: every accepted prediction is logged and pushed as metrics, and a majority of the
+    last ones that is not in its cooldown goes to the webhook. Returns the running query; stop it, or see
+    :func:`tidemark.streaming.live.stop_on_signals`. After the camera's last frame nothing more comes."""
+    spark = store.spark
+    spark.dataSource.register(camera.Camera)
+    reader = spark.readStream.format("camera").option("source", source).option("capture", capture).option("interval", str(interval))
+    for k, v in options.items():
+        reader = reader.option(k, str(v))
+    found = streams.predictions(reader.load(), models, every=reload_seconds)
+    rows = streams.live_alerts(found, every=True, size=window, least=majority, threshold=threshold, seconds=cooldown)
+    at = F.timestamp_micros((F.col("ts") * 1_000_000).cast("long"))
+
+    def act(batch: DataFrame, _: int) -> None:
+        seen = batch.withColumn("timestamp", at.cast("timestamp_ntz")).persist()
+        uid = S.make_uid("live", "timestamp", "seen", F.bround("conf", 4), "source", "idx")
+        sinks.log_once(store, seen.select(uid.alias("detection_uid"), "timestamp", F.col("seen").alias("cat_name"), F.col("conf").alias("confidence"), "source"))
+        if metrics:
+            samples = F.array(F.struct(F.lit("cat_detected").alias("name"), F.lit(1.0).alias("value")), F.struct(F.lit("cat_confidence").alias("name"), F.col("conf").alias("value")))
+            sinks.push_metrics(seen.select(F.create_map(F.lit("cat_name"), F.col("seen")).alias("labels"), F.explode(samples).alias("x")).select("x.name", "labels", "x.value"), metrics, send)
+        if webhook:
+            fired = seen.filter("name is not null").withColumn("b", F.from_json("box", "x int, y int, w int, h int"))
+            sinks.post_webhooks(fired.select(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp"), "name", F.col("mean_conf").alias("confidence"), F.lit(version).alias("model_version"), "b.*"), webhook, send)
+        seen.unpersist()
+
+    return streams.start(rows, act, checkpoint)

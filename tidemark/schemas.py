@@ -26,6 +26,8 @@ TABLES: dict[str, T.StructType] = {
 KEYS = {"videos": ["video_name"], "detections": ["detection_uid"], "intervals": ["interval_uid"], "frames": ["frame_uid"], "frame_intervals": ["frame_uid", "interval_uid"], "annotations": ["annotation_uid"], "crops": ["crop_uid"], "live_detections": ["detection_uid"]}
 #: What a column holds where a row does not say.
 DEFAULTS = {"frames": {"is_duplicate": False}, "crops": {"is_duplicate": False, "label": "unsorted"}}
+#: Columns that hold the time of the first save where a row does not say.
+TIMES = ("created_at", "updated_at")
 INDEX_COLUMNS = ["video_name", "date", "time", "hour", "lighting", "split_group"]
 COCO = T.StructType([
     T.StructField("categories", T.ArrayType(_schema("id bigint, name string"))),
@@ -35,14 +37,16 @@ COCO = T.StructType([
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:
-    """``df`` with exactly the columns of a table: missing ones get their default or null, surplus
-    ones go (how columns are added and dropped over time)."""
+    """``df`` with exactly the columns of a table: missing ones get their default, the time of now
+    or null, surplus ones go (how columns are added and dropped over time)."""
     defaults = DEFAULTS.get(name, {})
     out = []
     for f in TABLES[name]:
         value = F.col(f.name) if f.name in df.columns else F.lit(None)
         if f.name in defaults:
             value = F.coalesce(value, F.lit(defaults[f.name]))
+        if f.name in TIMES:
+            value = F.coalesce(value.cast(f.dataType), F.current_timestamp().cast(f.dataType))
         out.append(value.cast(f.dataType).alias(f.name))
     return df.select(*out)
 

@@ -10,11 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import metric_line
+from tidemark.functions.scalars import has_suffix, metric_line
 from tidemark.operators import merge
 
 log = logging.getLogger(__name__)
 METRIC_TIMEOUT, WEBHOOK_TIMEOUT = 3.0, 5.0
+PREVIEW = "_preview.jpg"
 
 
 def write_by_label(df: DataFrame, path: str, label: str = "label") -> None:
@@ -45,6 +46,55 @@ def write_images(df: DataFrame, folder: str, name: str = "name", content: str =
     df.select(name, content).foreachPartition(write)
 
 
+def move_files(df: DataFrame, folder: str, path: str = "path", label: str = "label", preview: str | None = None) -> None:
+    """Moves the files of ``path`` into ``folder/<label>/`` under their names, from the executors; where
+    the boolean column ``preview`` is true, a copy is left there as ``_preview.jpg``. A file that has
+    moved already, in a task that runs again, is left where it is."""
+
+    def move(rows) -> None:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        for r in rows:
+            _, source = fs.FileSystem.from_uri(r[path])
+            target = f"{base}/{r[label]}"
+            store.create_dir(target, recursive=True)
+            name = f"{target}/{source.rsplit('/', 1)[-1]}"
+            if store.get_file_info(source).type != fs.FileType.NotFound:
+                store.move(source, name)
+            if preview and r[preview]:
+                store.copy_file(name, f"{target}/{PREVIEW}")
+
+    columns = [path, label, *([preview] if preview else [])]
+    df.select(*columns).foreachPartition(move)
+
+
+def rebuild_training_set(files: DataFrame, folder: str, suffixes=(".jpg", ".jpeg", ".png"), reserved=("unsorted", "groups")) -> int:
+    """Makes ``folder`` anew with a folder for each label that holds links to its images (copies where the
+    store has no links), without previews and reserved labels. ``files`` has ``path``, ``name``,
+    ``label``. Returns the number of images."""
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(folder)
+    if store.get_file_info(base).type != fs.FileType.NotFound:
+        store.delete_dir(base)
+    store.create_dir(base, recursive=True)
+    chosen = files.filter(F.col("label").isNotNull() & ~F.col("label").isin(*reserved) & (F.col("name") != PREVIEW) & has_suffix("name", suffixes))
+
+    def link(rows) -> None:
+        own, root = fs.FileSystem.from_uri(folder)
+        for r in rows:
+            source, target = fs.FileSystem.from_uri(r["path"])[1], f"{root}/{r['label']}/{r['name']}"
+            own.create_dir(f"{root}/{r['label']}", recursive=True)
+            if not isinstance(own, fs.LocalFileSystem):
+                own.copy_file(source, target)
+            elif not os.path.lexists(target):
+                os.symlink(source, target)
+
+    chosen.select("path", "name", "label").foreachPartition(link)
+    return chosen.count()
+
+
 def post(url: str, body: bytes, kind: str, timeout: float) -> bool:
     """False, and a log line, where the receiver does not take it: alerts must not stop a stream."""
     try:

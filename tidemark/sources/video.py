@@ -86,3 +86,26 @@ def probe(files: DataFrame, prober: str) -> tuple[DataFrame, DataFrame]:
 
     out = files.select("path").mapInPandas(run, PROBED)
     return out.filter(F.col("duration_seconds").isNotNull()), out.filter(F.col("duration_seconds").isNull()).select("path")
+
+
+def frames_from(stream, seconds: float) -> Iterator[tuple]:
+    """Frames (pts, width, height, bytes) of an open ``stream`` from the key frame before ``seconds`` on.
+    ``stream.seek(seconds)`` may refuse with an OSError: then it goes to the beginning, and where it
+    refuses that too, frames come from where the stream stands."""
+    for target in (max(0.0, seconds), 0.0):
+        try:
+            stream.seek(target)
+            break
+        except OSError:
+            continue
+    return (f for f in stream.frames() if f[0] is not None)
+
+
+def frame_at(stream, seconds: float) -> tuple | None:
+    """The first frame at ``seconds`` or after it, decoding forwards; None behind the last."""
+    return next((f for f in frames_from(stream, seconds) if f[0] + 1e-6 >= seconds), None)
+
+
+def recorder(url: str, folder: str, seconds: int = 600) -> list[str]:
+    """The command that records a camera into files of ``seconds``, named by their time."""
+    return ["ffmpeg", "-rtsp_transport", "tcp", "-i", url, "-c", "copy", "-f", "segment", "-segment_time", str(seconds), "-segment_format", "mkv", "-strftime", "1", f"{folder.rstrip('/')}/%Y-%m-%d_%H-%M-%S.mkv"]
