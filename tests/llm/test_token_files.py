@@ -52,3 +52,20 @@ def test_parts(spark, cuts):
 
     df = spark.createDataFrame([(i,) for i in [None, *range(-3, 40)]], "i int").select("i", part_of(F.col("i"), cuts).alias("p"))
     assert all(r["p"] == (0 if r["i"] is None else sum(c <= r["i"] for c in cuts)) for r in df.collect())
+
+
+def test_file_order(spark, tmp_path, monkeypatch):
+    """Rows keep the order of their files and within them, however many files make a shard; rows without
+    files have no order."""
+    for k in range(5):
+        spark.createDataFrame([(100 - 10 * k - i, f"text {k} {i}") for i in range(4)], "doc_id long, text string").coalesce(1).write.parquet(f"file://{tmp_path}/in/part={k}")
+    docs = spark.read.parquet(*[f"file://{tmp_path}/in/part={k}" for k in range(5)])
+    want = brute([(100 - 10 * k - i, f"text {k} {i}") for k in range(5) for i in range(4)])
+    for most in (tf.MOST_PARTS, 2):
+        monkeypatch.setattr(tf, "MOST_PARTS", most)
+        folder, shards = tf.encode_in_file_order(docs, tf.vocabulary())
+        assert len(shards) == min(5, most)
+        assert sorted(map(tuple, tf.digest(spark, folder, shards).collect()), key=lambda r: r[1]) == want
+    with pytest.raises(ValueError):
+        tf.encode_in_file_order(spark.createDataFrame([(1, "x")], "doc_id long, text string"), tf.vocabulary())
+    assert tf.encode_in_file_order(spark.createDataFrame([], "doc_id long, text string"), tf.vocabulary())[1] == []
