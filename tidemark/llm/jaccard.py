@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -116,11 +115,12 @@ def _split(root: bool):
 def _alike(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """``path`` of the buckets whose sets agree in the probed minimum hashes, of which a hash into 16
     values is counted: on average over the probes, the share ``ALIKE`` has the most frequent one."""
-    names = [f"v{c}" for c in PROBES]
-    probed = sets.select("set", *[F.substring(F.hex(F.substring("sig", 4 * c + 1, 1)), 2, 1).alias(v) for c, v in zip(PROBES, names, strict=True)])
-    counts = rows.join(probed, "set").groupBy("path", "n", *names).agg(F.count("*").alias("k"))  # added up within each task first
-    most = [counts.groupBy("path", "n", v).agg(F.sum("k").alias("k")).groupBy("path", "n").agg(F.max("k").alias("k")) for v in names]
-    return reduce(DataFrame.unionByName, most).groupBy("path", "n").agg(F.avg("k").alias("k")).filter(F.col("k") >= ALIKE * F.col("n")).select("path")
+    digit = {c: F.substring(F.hex(F.substring("sig", 4 * c + 1, 1)), 2, 1) for c in PROBES}
+    probed = sets.select("set", *[digit[c].alias(f"v{c}") for c in PROBES])
+    tally = {(c, d): F.sum((F.col(f"v{c}") == d).cast("int")).alias(f"k{c}{d}") for c in PROBES for d in "0123456789ABCDEF"}
+    counts = rows.join(probed, "set").groupBy("path", "n").agg(*tally.values())  # added up within each task first
+    most = sum((F.greatest(*[F.col(f"k{c}{d}") for d in "0123456789ABCDEF"]) for c in PROBES), F.lit(0)) / len(PROBES)
+    return counts.filter(most >= ALIKE * F.col("n")).select("path")
 
 
 def buckets(sets: DataFrame) -> DataFrame:
