@@ -98,22 +98,20 @@ def importance(pages: DataFrame) -> DataFrame:
 
 def low_branches(pages: DataFrame) -> DataFrame:
     """``host``, ``node``, ``poor`` of the branches without importance: a node whose importance and
-    that of all nodes below it is less than ``LEAST``, or (``poor``) less than ``POOR``."""
-    nodes = written(importance(pages).filter(F.col("node") != 0), "style-tree", small=True)
-    return _branches(nodes, LEAST).withColumn("poor", F.lit(False)).unionByName(_branches(nodes, POOR).withColumn("poor", F.lit(True)))
-
-
-def _branches(nodes: DataFrame, least: float) -> DataFrame:
-    """Important nodes save the nodes above them, a level at a time, until no node is saved."""
-    low = nodes.filter((F.col("pages") >= PAGES) & (F.col("importance") < least)).select("host", "node", "parent")
+    that of all nodes below it is less than ``LEAST``, or (``poor``) less than ``POOR``. Important nodes
+    save the nodes above them, a level at a time, until no node is saved."""
+    nodes = written(importance(pages).filter(F.col("node") != 0), "style-tree", small=True).withColumn("poor", F.explode(F.array(F.lit(False), F.lit(True))))
+    key = ["host", "node", "poor"]
+    low = nodes.filter((F.col("pages") >= PAGES) & (F.col("importance") < F.when(F.col("poor"), POOR).otherwise(LEAST))).select(*key, "parent")
     low = written(low, "low", small=True)
-    saving = nodes.join(low, ["host", "node"], "left_anti").select("host", F.col("parent").alias("node")).distinct()
+    above = lambda rows: rows.select("host", F.col("parent").alias("node"), "poor").distinct()
+    saving = above(nodes.join(low, key, "left_anti"))
     while True:
-        saved = written(low.join(saving, ["host", "node"], "left_semi"), "saved", small=True)
+        saved = written(low.join(saving, key, "left_semi"), "saved", small=True)
         if saved.isEmpty():
-            return low.select("host", "node")
-        low = written(low.join(saved, ["host", "node"], "left_anti"), "low", small=True)
-        saving = saved.select("host", F.col("parent").alias("node")).distinct()
+            return low.select(*key)
+        low = written(low.join(saved, key, "left_anti"), "low", small=True)
+        saving = above(saved)
 
 
 def judged(page: str | None, low: frozenset = frozenset(), poor: frozenset = frozenset()) -> tuple[str, int, int]:
