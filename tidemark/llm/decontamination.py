@@ -57,6 +57,11 @@ def window_minima(df: DataFrame, column: str, w: int, to: str) -> DataFrame:
     return df.withColumn(to, F.slice(F.col(to), F.lit(1), F.greatest(F.size(column) - (w - 1), F.lit(0)))).drop(*[n for s, n in names.items() if s > 1])
 
 
+def _salted(hashes: Column, n: int) -> Column:
+    """Hashes of runs of n words, apart from those of other lengths."""
+    return F.transform(hashes, lambda h: F.xxhash64(h, F.lit(n)))
+
+
 def winnowed(df: DataFrame, keep: list[str], k: int, window: int, short: Sequence[int] = (), sentinel: bool = False) -> DataFrame:
     """One row (``_at``, ``_hash``, ``_len`` 0) for each run that is smallest in a full window, and for
     each run of ``_len`` words, of the lengths in ``short``; ``df`` has the words in ``_words``. With
@@ -65,7 +70,7 @@ def winnowed(df: DataFrame, keep: list[str], k: int, window: int, short: Sequenc
     df = df.withColumn("_wh", F.transform("_words", lambda x: F.xxhash64(x))).withColumn("_runs", runs("_wh", k))
     df = window_minima(df, "_runs", w, "_least")
     first = F.array(F.lit(None).cast("long")) if sentinel else F.slice(F.col("_runs"), F.lit(1), F.lit(0))
-    more = [F.transform(runs("_wh", n), lambda h, n=n: F.xxhash64(h, F.lit(n))) for n in short]
+    more = [_salted(runs("_wh", n), n) for n in short]
     rows = df.select(*keep, "_words", "_least", F.posexplode(F.concat(first, F.col("_runs"), *more)).alias("_at", "_hash"))
     # the runs of each length stand behind those of the lengths before
     begin, at, length = F.greatest(F.size("_words") - (k - 1), F.lit(0)) + int(sentinel), F.col("_at") - int(sentinel), F.lit(0)
