@@ -39,6 +39,25 @@ def test_odd_texts_and_ties(spark):
     assert masks[:n].all() and not masks[n:].any()
 
 
+def test_frequent_pieces_outlive_a_full_cache(monkeypatch):
+    """Pieces of every text are encoded once, however many rare ones come between; the ids stay right."""
+    monkeypatch.setattr(tf, "CACHE_PIECES", 60)
+    often = ["Often", "seen,", "words.", "42", "a-b"]
+    texts = [" ".join([*often, *(f"{chr(97 + i % 26)}{chr(97 + i // 26)}x{chr(97 + j)}q" for j in range(20))]) for i in range(200)]
+    encoder, encoded = tf.Encoder(tf.vocabulary()), []
+    plain, words = encoder._encode, encoder._encode_words
+    monkeypatch.setattr(encoder, "_encode", lambda some: encoded.extend(some) or plain(some))
+    monkeypatch.setattr(encoder, "_encode_words", lambda some: encoded.extend(some) or words(some))
+    got, kept = [], 0
+    for t in texts:
+        got += encoder.encode([t])
+        kept = max(kept, len(encoder.cache) + len(encoder.old))
+    t = Tokenizer.from_file(tf.vocabulary())
+    assert got == [np.array(t.encode(x, add_special_tokens=False).ids, dtype=encoder.dtype).tobytes() for x in texts]
+    assert all(encoded.count(w) <= 1 for w in ["often", "seen", "words", "42", "a-b"])
+    assert kept < 4 * 60
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert tf.digest(spark, *tf.encode(docs, tf.vocabulary())).count() == 0

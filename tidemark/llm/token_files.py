@@ -38,8 +38,8 @@ from tidemark.llm.storage import fresh_path
 LENGTH = 2048
 BATCH = 64
 END_ID = 2
-#: Pieces of text between blanks are encoded once a worker; at most so many are kept, none longer.
-CACHE_PIECES, CACHE_CHARS = 600_000, 48
+#: Pieces of text between blanks are encoded once a worker; at most about twice so many are kept, none longer.
+CACHE_PIECES, CACHE_CHARS = 750_000, 48
 
 #: Letters, then ASCII marks without apostrophe: the tokenizer cuts there too.
 WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-^`{-~]*)")
@@ -49,7 +49,8 @@ _encoders: dict[str, Encoder] = {}
 
 class Encoder:
     """Encodes with a tokenizer file. Blanks end a word for the tokenizer, so a text's ids are
-    those of its pieces between blanks; frequent pieces come from a bounded cache."""
+    those of its pieces between blanks; frequent pieces come from a bounded cache. A full cache becomes the
+    old one, from which pieces that occur again are taken over, and the old one before it goes."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,6 +61,7 @@ class Encoder:
         self.tokenizer.no_padding()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         # With a mark at words' ends (and lower-casing), words can be encoded many at a time.
         model = json.loads(self.tokenizer.to_str())
         mark, steps = model["model"].get("end_of_word_suffix"), [n.get("type") for n in (model.get("normalizer") or {}).get("normalizers", [])]
@@ -94,10 +96,18 @@ class Encoder:
                 begin = end
         return out
 
-    def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        """Encodes pieces; short ones go into the cache, long ones are returned."""
+    def _missing(self, pieces: set[str]) -> set[str]:
+        """Those of ``pieces`` that neither cache has; what the old one has is taken over."""
+        cache, old = self.cache, self.old
+        missing = pieces.difference(cache)
+        new = missing.difference(old)
+        cache.update((p, old[p]) for p in missing.difference(new))
+        return new
+
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Encodes pieces that are in no cache; short ones go into the cache, long ones are returned."""
         cache, words, plain, long = self.cache, {}, [], []
-        for p in missing:
+        for p in self._missing(pieces):
             if len(p) > CACHE_CHARS:
                 long.append(p)
                 continue
@@ -107,9 +117,9 @@ class Encoder:
             else:
                 plain.append(p)
         cache.update(zip(plain, self._encode(plain), strict=True))
-        tails = list({t for _, t in words.values()}.difference(cache))
+        tails = list(self._missing({t for _, t in words.values()}))
         cache.update(zip(tails, self._encode(tails), strict=True))
-        new = list({w for w, _ in words.values()}.difference(cache))
+        new = list(self._missing({w for w, _ in words.values()}))
         cache.update(zip(new, self._encode_words(new), strict=True))
         for p, (word, tail) in words.items():
             cache[p] = cache[word] + cache[tail]
@@ -118,10 +128,10 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of ``dtype``."""
         if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
+            self.old, self.cache = self.cache, {}
         cache = self.cache
         pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        long = self._learn(set().union(*pieces).difference(cache))
+        long = self._learn(set().union(*pieces))
         if not long:
             return [b"".join(map(cache.__getitem__, p)) for p in pieces]
         return [b"".join([cache[x] if x in cache else long[x] for x in p]) for p in pieces]
